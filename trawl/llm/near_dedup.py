@@ -12,8 +12,9 @@ THRESHOLD or more, and classes are what links connect:
    is the hub; every other member is compared exactly with it, one pair a member.
 2. Buckets that these links leave in several classes are compared further, member by member across
    classes, in blocks of BLOCK texts by their registers' low bytes. Pairs whose estimate is within
-   MARGIN (over four standard deviations) of the threshold are compared exactly, each only in the
-   first band that it shares.
+   MARGIN (four standard deviations) of the threshold are compared exactly, each only in the first
+   band that it shares. Members of buckets over SMALL first get FINE registers, whose estimates
+   leave few pairs that are not links.
 
 So no link between different texts that meet in a band is lost (at J_P = 0.8 all but 2 in 100,000
 do), and a group of copies or near copies costs a number of rows in proportion to it in step 1;
@@ -40,6 +41,7 @@ from trawl.llm.components import components
 from trawl.llm.shared import bitmap, chunks, materialize, mix, pick, prefix_hash, span_hash, table
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, MARGIN = 5, 0.8, 36, 6, 1024, 0.11
+SMALL, FINE, FINE_MARGIN = 64, 1024, 0.05
 REGISTERS = BANDS * ROWS
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,23 +78,23 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return of[new], hashes[new], np.diff(np.concatenate([new, [len(of)]]))
 
 
-def prob_min_hash(of: np.ndarray, elements: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
-    """REGISTERS elements of each text; rows of texts without elements are 0."""
-    times, kept = np.full(texts * REGISTERS, np.inf), np.zeros(texts * REGISTERS, np.uint64)
+def prob_min_hash(of: np.ndarray, elements: np.ndarray, weights: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
+    """The elements in the registers of each text; rows of texts without elements are 0."""
+    times, kept = np.full(texts * registers, np.inf), np.zeros(texts * registers, np.uint64)
     rate, at, late = 1.0 / weights, np.zeros(len(of)), np.zeros(len(of), np.uint64)
     while len(of):
         m = int(np.clip(20_000 // len(of), 1, 64))  # arrivals at a time
         step = late[:, None] + np.arange(m, dtype=np.uint64)
         random = mix(elements[:, None] + (step + np.uint64(1)) * _G)
         arrivals = at[:, None] + np.cumsum(-np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * rate[:, None], 1)
-        register = (mix(random) % np.uint64(REGISTERS)).astype(np.int64) + (of * REGISTERS)[:, None]
+        register = (mix(random) % np.uint64(registers)).astype(np.int64) + (of * registers)[:, None]
         np.minimum.at(times, register.ravel(), arrivals.ravel())
         won = times[register] == arrivals
         kept[register[won]] = np.broadcast_to(elements[:, None], register.shape)[won]
         at, late = arrivals[:, -1], late + np.uint64(m)
-        go = at < times.reshape(texts, REGISTERS).max(1)[of]
+        go = at < times.reshape(texts, registers).max(1)[of]
         of, elements, rate, at, late = of[go], elements[go], rate[go], at[go], late[go]
-    return kept.reshape(texts, REGISTERS)
+    return kept.reshape(texts, registers)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -186,14 +188,30 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return left.join(texts.toDF("v", "c"), "v").select("u", "v", "a", "c").mapInArrow(run, "u long, v long")
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (b, i, j, own, t, c, sketch, band), sorted by b, i, j: pairs of different c that may be near, from whole groups."""
+def _fine(texts: DataFrame) -> DataFrame:
+    """t, text -> t, fine: the low bytes of FINE registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            kept = prob_min_hash(*shingles(b.column("text").to_pylist()), b.num_rows, FINE)
+            yield pa.RecordBatch.from_arrays([b.column("t"), pa.array([k.tobytes() for k in (kept & np.uint64(255)).astype(np.uint8)], pa.binary())], names=["t", "fine"])
+
+    return texts.mapInArrow(run, "t long, fine binary")
+
+
+def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (b, i, j, own, t, c, sketch, band, fine), sorted by b, i, j: pairs of different c that may be near, from whole groups."""
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         block, own = (t.column(k).to_numpy() for k in ("j", "own"))
         same = t.column("i").to_numpy() == block
         ts, cs, band = (t.column(k).to_numpy() for k in ("t", "c", "band"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        fine = t.column("fine")
+        if fine.null_count:
+            full, least = sketch, (threshold - MARGIN) * REGISTERS
+        else:
+            full, least = np.frombuffer(b"".join(fine.to_pylist()), np.uint8).reshape(-1, FINE), (threshold - FINE_MARGIN) * FINE
         left = np.flatnonzero(own == t.column("i").to_numpy())
         right = left if same[0] else np.flatnonzero(own != t.column("i").to_numpy())
         us, vs = [], []
@@ -201,10 +219,8 @@ def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             others = right[(cs[right] != cs[k]) & ((ts[right] > ts[k]) | (not same[0]))]
             for x in range(0, len(others), 4096):
                 other = others[x : x + 4096]
-                equal = sketch[other] == sketch[k]
-                near = equal.sum(1) >= least
-                other, equal = other[near], equal[near]
-                first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[k]
+                other = other[(full[other] == full[k]).sum(1) >= least]
+                first = (sketch[other] == sketch[k]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[k]
                 us.append(np.full(first.sum(), ts[k])), vs.append(ts[other[first]])
         return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64),) * 2
 
@@ -256,14 +272,14 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of = members.join(first.withColumnRenamed("u", "t"), "t", "left").withColumn("c", F.coalesce("c", "t"))
     of = materialize(of.select("t", "band", "b", "c"))
     left = of.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = left.select("b", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = left.select("b", (F.col("n") > SMALL).alias("large"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # a text's copies from different tasks have the same sketch
     sketches = signed.join(of.join(left, "b", "left_semi").select("t").distinct(), "t", "left_semi").select("t", "sketch").dropDuplicates(["t"])
-    dealt = of.join(blocks, "b").withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int")).join(sketches, "t")
+    fine = _fine(texts.join(of.join(left.where(F.col("n") > SMALL), "b", "left_semi").select("t").distinct(), "t", "left_semi"))
+    dealt = of.join(blocks, "b").withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int")).join(sketches, "t").join(fine, "t", "left")
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "c", "sketch", "band")
-    least = int((threshold - MARGIN) * REGISTERS)
-    more = met.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(lambda it: _across(it, least), "u long, v long").distinct()
+    met = met.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "c", "sketch", "band", F.when(F.col("large"), F.col("fine")).alias("fine"))
+    more = met.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(lambda it: _across(it, threshold), "u long, v long").distinct()
     known = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     second = materialize(_linked(materialize(more.join(known, ["u", "v"], "left_anti")), texts, threshold))
     return components(first.toDF("u", "v").union(second)).toDF("t", "c")

@@ -7,7 +7,7 @@ strings meet at equal anchors.
 
 1. Initial buckets. Anchors are bucketed by their q-gram; a bucket with one anchor is done.
 2. Refinement by later offsets. The identifier of 2n bytes is made from the identifiers of its
-   halves, the second of which stands n bytes later: Q, 2Q, 4Q, 8Q = LENGTH, each level reusing the
+   halves, the second of which stands n bytes later: Q, 2Q, 4Q = LENGTH, each level reusing the
    one before. An anchor's whole reach (all strings that it is the anchor of) is compared first:
    reaches with an equal identifier repeat as a whole.
 3. Buckets whose reaches differ are refined to single strings, each with its identifier of LENGTH
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trawl.llm.shared import Bitmap, bitmap, chunks, extended, materialize, mix, pick, prefix_hash, span_hash, table
 
-LENGTH, Q = 200, 25
+LENGTH, Q = 200, 50
 #: A very long text is worked through in parts of so many bytes that overlap by LENGTH.
 PART_BYTES = 1 << 20
-HOT_REACHES, FLUSH_BYTES = 20_000, 4 << 20
+HOT_REACHES, FLUSH_BYTES = 20_000, 1 << 20
 _POSITION = np.uint64((1 << 20) - 1)
 
 

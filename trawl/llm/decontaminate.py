@@ -116,7 +116,8 @@ class Items:
             if not len(whole):
                 continue
             h = run_hashes(ids, n)[whole]
-            for j, x in zip(whole[(ok := np.isin(h, known))].tolist(), h[ok].tolist(), strict=True):
+            ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            for j, x in zip(whole[ok].tolist(), h[ok].tolist(), strict=True):
                 for k in at[x]:
                     hits.setdefault(k, []).append(j)
         out = []

@@ -9,12 +9,13 @@ from trawl.llm.decontaminate import contamination
 from trawl.llm.near_dedup import one_of_each
 from trawl.llm.quality_rules import quality_rules
 from trawl.llm.secrets import redacted
-from trawl.llm.shared import materialize, pick, table
+from trawl.llm.shared import carried, materialize, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return pick(quality_rules(docs, docs.columns).where("kept"), *docs.columns)
+    rows, plain = carried(docs, "text", "lang", "source")
+    return quality_rules(rows, plain).where("kept").select(*plain).toDF(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return pick(contamination(docs, table(spark, sf_dir, "benchmark"), tuple(docs.columns)).where("not contaminated"), *docs.columns)
+    rows, plain = carried(docs, "text")
+    return contamination(rows, table(spark, sf_dir, "benchmark"), tuple(plain)).where("not contaminated").select(*plain).toDF(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

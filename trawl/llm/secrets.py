@@ -138,16 +138,21 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs, all columns and rows, with the secrets in text replaced and n_chars counted anew."""
 
+    columns = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(columns))])  # names that can't hold dots
+    text, size = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            old = b.column("text").to_pylist()
+        for b in chunks(batches, f"_c{text}"):
+            old = b.column(text).to_pylist()
             new = [redact(t) for t in old]
-            b = b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(new, b.schema.field("text").type))
-            if (k := b.schema.get_field_index("n_chars")) >= 0:
-                b = b.set_column(k, b.schema.field(k), pa.array([n if o == t else len(t) for n, o, t in zip(b.column(k).to_pylist(), old, new, strict=True)], b.schema.field(k).type))
+            b = b.set_column(text, b.schema.field(text), pa.array(new, b.schema.field(text).type))
+            if size is not None:
+                counts = [n if o == t else len(t) for n, o, t in zip(b.column(size).to_pylist(), old, new, strict=True)]
+                b = b.set_column(size, b.schema.field(size), pa.array(counts, b.schema.field(size).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*columns)
 
 
 def joined(spans: list[Span]) -> str:

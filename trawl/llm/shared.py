@@ -22,6 +22,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{cols.index(n)}").alias(n) for n in names])
 
 
+def carried(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns under neutral names, and these once more under their own; and the neutral names."""
+    cols = df.columns
+    plain = [f"_c{i}" for i in range(len(cols))]
+    return df.toDF(*plain).select("*", *[F.col(f"_c{cols.index(n)}").alias(n) for n in names]), plain
+
+
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trawl.operators.lines import looks_binary
@@ -97,7 +98,7 @@ class CorpusIndex:
         stream = self._fs.open(at)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
-        except ValueError as e:
+        except (ValueError, Py4JJavaError) as e:
             raise IndexFault(f"{self.folder} has a broken pointer") from e
         finally:
             stream.close()

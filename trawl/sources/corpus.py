@@ -92,5 +92,5 @@ def from_tree(spark: SparkSession, root: str) -> DataFrame:
     top = os.path.realpath(root)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(top)
     # a content column that is not asked for is not read
-    below = F.substring(F.try_url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), r"^file:/+", "/")), len(top.rstrip("/")) + 2, 1 << 30)
+    below = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(top.rstrip("/")) + 2, 1 << 30)
     return read.select(below.alias("path"), "content").join(listed, "path").select(*CORPUS.names)

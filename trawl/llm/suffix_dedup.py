@@ -285,22 +285,18 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     schema = extended(rows.select("doc_id").schema, f"n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_bytes else 4]
 
-    def touches(yes: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(touched.has(b.column("k1").to_numpy() ^ b.column("k2").to_numpy()) == yes))
+    def told(b: pa.RecordBatch, yes: bool) -> pa.RecordBatch:
+        return b.filter(pa.array(touched.has(b.column("k1").to_numpy() ^ b.column("k2").to_numpy()) == yes))
 
-        return run
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             runs_ = b.column("runs").to_pylist() if "runs" in b.schema.names else [None] * b.num_rows
             columns = list(zip(*map(_outcome, b.column("text").to_pylist(), runs_), strict=True))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=schema.names)
 
-    clean = rows.mapInArrow(touches(False), rows.schema).mapInArrow(run, schema)
-    held = rows.mapInArrow(touches(True), rows.schema).join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
-    return clean.unionByName(held.mapInArrow(run, schema))
+    clean = rows.mapInArrow(lambda it: outcomes(told(b, False) for b in it), schema)
+    held = rows.mapInArrow(lambda it: (told(b, True) for b in it), rows.schema).join(runs, ["k1", "k2"], "left")
+    return clean.unionByName(held.select("doc_id", "text", "runs").mapInArrow(outcomes, schema))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ the least ratio of the unlabelled to the positive share above a threshold, with
 bound, is the prior (best-bin estimation).
 
 Features come from the whole text's bytes: shares of byte classes, lengths, repeated lines and
-hashed byte pairs. Fitting takes a bounded sample, POSITIVES and UNLABELLED rows of lowest hash; it
+hashed byte pairs, words that follow themselves. Fitting takes a bounded sample, POSITIVES and UNLABELLED rows of lowest hash; it
 is the only thing the driver collects. Scoring is one pass without a shuffle.
 
 Null texts are empty and have a score as well. Null doc_ids are never held out, nor sampled.
@@ -19,6 +19,7 @@ change nothing; without any positives or any rows the scores are all 0.5. Ties a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trawl.llm.shared import chunks, extended, mix, pick, table
 
 #: Most rows of the fitting sample: trusted positives, and unlabelled texts.
-POSITIVES, UNLABELLED = 4000, 8000
-HASHED, DENSE = 256, 16
-EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 1e-3
+POSITIVES, UNLABELLED = 6000, 12_000
+HASHED, DENSE = 256, 20
+EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 2e-2
 _BUCKET = (mix(np.arange(65536, dtype=np.uint64)) % np.uint64(HASHED)).astype(np.int64)
 _CLASS = np.zeros(256, np.int64)  # 0: other punctuation
 for _k, _bytes in enumerate((b" ", b"\t\r\v\f", b"\n", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b".,;:!?'\"-()", b"#*$%&|<>", bytes(range(128, 256))), 1):
@@ -53,8 +54,13 @@ def features(texts: list[str | None]) -> np.ndarray:
         out[k, 12] = 1 - len(set(lines)) / len(lines) if lines else 0
         out[k, 13] = np.log1p(len(lines)) / 10
         words = t.split() if t else []
-        out[k, 14] = len(set(words)) / len(words) if words else 0
+        if words:
+            out[k, 14] = len(set(words)) / len(words)
+            out[k, 16] = np.sqrt(sum(map(eq, words, words[1:])) / len(words))
+            out[k, 17] = np.sqrt(words.count("|") / len(words))
+            out[k, 18] = np.log1p(len(words)) * (1 - out[k, 14]) / 10
     out[:, 15] = size == 0
+    out[:, 19] = np.sqrt(out[:, 8])  # of rare marks the first ones tell most
     if len(data) > 1:
         pair, inside = _BUCKET[data[:-1] * 256 + data[1:]], row[:-1] == row[1:]
         out[:, DENSE:] = np.sqrt(np.bincount((row[:-1] * HASHED + pair)[inside], minlength=n * HASHED).reshape(n, HASHED) * share)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,14 +119,14 @@ class Bitmap:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap(keys: DataFrame, log2_bits: int = 26) -> Bitmap:
-    """The bitmap of a column of longs; the driver gets its 2**log2_bits bits, however many keys there are."""
-    name, words, shift = keys.columns[0], 1 << (log2_bits - 6), np.uint64(64 - log2_bits)
+def bitmap(keys: DataFrame, log2_bits: int = 26, key: Callable[..., np.ndarray] = lambda column: column) -> Bitmap:
+    """The bitmap of key(columns), 64-bit integers; the driver gets its 2**log2_bits bits, however many keys there are."""
+    words, shift = 1 << (log2_bits - 6), np.uint64(64 - log2_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(words, np.uint64)
         for b in batches:
-            at = mix(b.column(name).to_numpy().view(np.uint64)) >> shift
+            at = mix(key(*(c.to_numpy() for c in b.columns)).view(np.uint64)) >> shift
             np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         word = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(bits[word].view(np.int64))], names=["word", "bits"])

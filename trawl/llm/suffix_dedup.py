@@ -76,8 +76,8 @@ def _parts(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
         yield i, data[i : i + PART_BYTES]
 
 
-def _place(k1: int, k2: int, low: np.ndarray) -> np.ndarray:
-    return mix(mix(low.astype(np.uint64) + np.array([k1], np.int64).view(np.uint64)) + np.array([k2], np.int64).view(np.uint64))
+def _place(k1: np.ndarray, k2: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mix(mix(low.astype(np.uint64) + k1.view(np.uint64)) + k2.view(np.uint64))
 
 
 def _found(batches: Iterator[pa.RecordBatch], grams: Bitmap | None, places: Bitmap | None) -> Iterator[tuple]:
@@ -96,7 +96,7 @@ def _found(batches: Iterator[pa.RecordBatch], grams: Bitmap | None, places: Bitm
                 gram = first[at]
                 ok = np.ones(len(at), bool) if grams is None else grams.has(gram)
                 if places is not None:
-                    ok &= places.has(_place(*key, low + offset))
+                    ok &= places.has(_place(*np.array(key, np.int64)[:, None], low + offset))
                 if ok.any():
                     yield key, copies, data, offset, at[ok], low[ok], high[ok], gram[ok], prefix
 
@@ -241,12 +241,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     several = materialize(variants.groupBy("gram").agg(F.count("*").alias("v")).where("v > 1"))
     open_ = variants.join(several.select("gram"), "gram", "left_semi").select("at.*")
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k1, k2, low = (b.column(c).to_numpy() for c in ("k1", "k2", "low"))
-            yield pa.RecordBatch.from_arrays([pa.array(mix(mix(low.astype(np.uint64) + k1.view(np.uint64)) + k2.view(np.uint64)).view(np.int64))], names=["place"])
-
-    bytes_ = _bytes_of(rows, twice, bitmap(open_.mapInArrow(places, "place long")))
+    bytes_ = _bytes_of(rows, twice, bitmap(open_, key=_place))
     hot = several.where(F.col("v") > HOT_REACHES).select("gram")
     runs = [settled]
     if hot.isEmpty():

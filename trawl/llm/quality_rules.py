@@ -7,8 +7,9 @@ and the start that ends with the lower determinant is taken. A row is rejected w
 Mahalanobis distance, scaled so that its median is that of a chi-square, exceeds CUTOFF.
 
 DataFrame functions only. Statistics are made once and kept as a table in the shared folder; groups
-are only ever aggregated with partial sums and quantile sketches, never gathered, and their small
-tables of estimates are joined back by key, so that AQE can broadcast them or split a hot group.
+are only ever aggregated with partial sums and quantile sketches, never gathered. Their small tables
+of estimates are joined back by group and salt: AQE broadcasts them while they are small, and where
+it doesn't, a hot group is dealt over SALTS tasks and aggregated in each before it is brought together.
 
 Defined results: null and empty texts have no words and fail the base limits; null languages and
 sources are groups of their own; (lang, source) groups of fewer than LEAST_ROWS rows are pooled
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trawl.llm.shared import materialize, pick, table
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
-LEAST_ROWS, HALF, STEPS = 200, 0.75, 3
+LEAST_ROWS, HALF, STEPS, SALTS = 200, 0.75, 3, 64
 #: A chi-square with five degrees of freedom has this median; the cutoff lies far beyond its 1 - 1e-6 quantile of 38.
 CHI_MEDIAN, CUTOFF = 4.3515, 120.0
 #: Standard deviations below which a statistic doesn't count as varying at all.
@@ -107,6 +108,12 @@ def _groups(rows: DataFrame, least: int) -> DataFrame:
     )
 
 
+def _with(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows, salted, with a row of small for each key."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(salted, [*keys, "_salt"], how)
+
+
 def _estimates(moments: DataFrame, keys: list[str]) -> DataFrame:
     """Cholesky factors of the covariances, floors added, and the log determinant."""
     out = moments
@@ -137,9 +144,9 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mcd(rows: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
-    """Per _group: centre, Cholesky factor of the minimum-determinant covariance, and scale of d2."""
+    """rows: _group, _salt and the vector. Per _group: centre, Cholesky factor of the minimum-determinant covariance, and scale of d2."""
     medians = rows.groupBy("_group").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m_{i}") for i, x in enumerate(XS)])
-    spread = rows.join(medians, "_group").groupBy("_group").agg(
+    spread = _with(rows, medians, ["_group"]).groupBy("_group").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(XS))],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, x in enumerate(XS)],
     )
@@ -148,12 +155,12 @@ def mcd(rows: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
     starts = robust.withColumn("_start", F.lit(0)).unionByName(_moments(rows, ["_group"]).withColumn("_start", F.lit(1)))
     now = materialize(_estimates(starts, ["_group", "_start"]))
     for _ in range(steps):
-        near = _distance(rows.join(now, "_group"))
+        near = _distance(_with(rows, now, ["_group"]))
         limit = near.groupBy("_group", "_start").agg(F.percentile_approx("d2", half, 10_000).alias("limit"))
-        inside = near.join(materialize(limit), ["_group", "_start"]).where(F.col("d2") <= F.col("limit"))
+        inside = _with(near, materialize(limit), ["_group", "_start"]).where(F.col("d2") <= F.col("limit"))
         now = materialize(_estimates(_moments(inside, ["_group", "_start"]), ["_group", "_start"]))
     best = now.groupBy("_group").agg(F.min(F.struct("log_det", "_start", *[c for c in now.columns if c[1] == "_" and c[0] in "ml"])).alias("b")).select("_group", "b.*")
-    scale = _distance(rows.join(best, "_group")).groupBy("_group").agg((F.percentile_approx("d2", 0.5, 10_000) / CHI_MEDIAN).alias("scale"))
+    scale = _distance(_with(rows, best, ["_group"])).groupBy("_group").agg((F.percentile_approx("d2", 0.5, 10_000) / CHI_MEDIAN).alias("scale"))
     return materialize(best.join(scale, "_group"))
 
 
@@ -166,10 +173,12 @@ def quality_rules(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, leas
     out = {k: f"_out{i}" for i, k in enumerate(keep)}
     made = with_stats(plain.select(F.col(at["text"]).alias("text"), *group.values(), *[F.col(at[k]).alias(out[k]) for k in keep]))
     made = materialize(made.drop("text"))
-    keyed = made.join(materialize(_groups(made, least)), ["_lang", "_source"], "left")
-    judged = keyed.where(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", *XS)
+    # copies have one vector, so the salt is the row's place in its file
+    keyed = made.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    keyed = _with(keyed, materialize(_groups(made, least)), ["_lang", "_source"], "left")
+    judged = keyed.where(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", "_salt", *XS)
     estimates = mcd(judged)
-    far = _distance(keyed.join(estimates, "_group", "left")).withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(0.2)))
+    far = _distance(_with(keyed, estimates, ["_group"], "left")).withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(0.2)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return far.select(*[F.col(out[k]).alias(k) for k in keep], *STATS, "base_failed", kept.alias("kept"), "distance")
 

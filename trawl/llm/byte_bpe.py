@@ -162,7 +162,11 @@ class ByteBPE:
             new = list(set().union(*split))
         self.cache.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
         get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        out = [b"".join(map(get, pieces)) for pieces in split]
+        for p in new:
+            if len(p) > MATRIX_BYTES:  # rare and long: the cache stays small
+                del self.cache[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -64,39 +64,63 @@ def name_score(name: str) -> float:
     return max([0.0, *(NAME_SCORES.get(w, 0.0) for w in words), *(NAME_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False))])
 
 
-def literal_score(value: str) -> float:
-    """0 for short, placeholder-like or monotonous literals, up to 1 for long random ones."""
-    n = len(value)
-    if n < 8 or PLACEHOLDER.match(value) or " " in value:
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.25 * entropy * (0.5 + 0.25 * min(kinds, 2)))
+class Value:
+    """A sum of literals, kept as the spans it names itself and the constants it was made of."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int]], carried: list[Value]):
+        self.spans, self.carried, self.told = spans, carried, False
+        self.counts = Counter(text[i] for a, b in spans for i in range(a, b))
+        for v in carried:
+            self.counts.update(v.counts)
+        # a constant alone, however often it was carried, is still the one literal
+        first = spans + [v.only for v in carried]
+        self.only = first[0] if len(first) == 1 else None
+
+    def score(self, text: str) -> float:
+        """0 for short, placeholder-like or monotonous literals, up to 1 for long random ones."""
+        n = sum(self.counts.values())
+        if n < 8 or " " in self.counts or self.only and PLACEHOLDER.match(text[slice(*self.only)]):
+            return 0.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        kinds = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "" for c in self.counts})
+        return min(1.0, 0.25 * entropy * (0.5 + 0.25 * min(kinds, 2)))
+
+    def tell(self) -> Iterator[tuple[int, int]]:
+        """The spans of all its literals that haven't been told before."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                yield from v.spans
+                todo += v.carried
 
 
 def lexed_spans(text: str, least: float = LEAST_SCORE) -> list[Span]:
     """Literals that reach a sensitive name, directly, through a named constant or in a sum."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
     for op in _OPERATOR.finditer(text):
         name = _NAME.search(text, max(0, op.start() - 96), op.start())
         if not name:
             continue
-        literals, at = [], op.end()
+        spans, carried, at = [], [], op.end()
         while m := _OPERAND.match(text, at):
-            if m[3] is not None:
-                literals += constants.get(m[3], [m.span(3)] if m[3] not in constants and at == op.end() else [])
-            else:
-                literals.append(next(m.span(k) for k in (1, 2, 4) if m[k] is not None))
+            if m[3] is None:
+                spans.append(next(m.span(k) for k in (1, 2, 4) if m[k] is not None))
+            elif m[3] in constants:
+                carried.append(constants[m[3]])
+            elif at == op.end():
+                spans.append(m.span(3))
             plus = _PLUS.match(text, m.end())
-            if not plus or len(literals) > 64:
+            if not plus:
                 break
             at = plus.end()
-        if not literals:
+        if not spans and not carried:
             continue
-        constants[name[2]] = literals
-        if (s := name_score(name[2])) and s * literal_score("".join(text[i:j] for i, j in literals)) >= least:
-            found.update((i, j) for i, j in literals if j > i)
+        constants[name[2]] = value = Value(text, spans, carried)
+        if (s := name_score(name[2])) and s * value.score(text) >= least:
+            found.update((i, j) for i, j in value.tell() if j > i)
     return [("lex", i, j, i, j) for i, j in sorted(found)]
 
 

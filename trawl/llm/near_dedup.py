@@ -11,14 +11,15 @@ THRESHOLD or more, and classes are what links connect:
 1. Equal texts are one from here on. In each bucket the text that shares most buckets with others
    is the hub; every other member is compared exactly with it, one pair a member.
 2. Buckets that these links leave in several classes are compared further, member by member across
-   classes, in blocks of BLOCK texts by their registers' low bytes. Pairs whose estimate is within
+   classes, in blocks of BLOCK texts by their registers' low bytes; a bucket's largest class is
+   only dealt to the blocks of its other members. Pairs whose estimate is within
    MARGIN (four standard deviations) of the threshold are compared exactly, each only in the first
    band that it shares. Members of buckets over SMALL first get FINE registers, whose estimates
    leave few pairs that are not links.
 
 So no link between different texts that meet in a band is lost (at J_P = 0.8 all but 2 in 100,000
 do), and a group of copies or near copies costs a number of rows in proportion to it in step 1;
-only texts close to a group, but not linked to its hub, take step 2.
+in step 2 it grows with the product of the texts outside of a bucket's largest class and all.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer words than
 SHINGLE is one shingle; a text without words only equals itself. Null texts are empty texts. Every
@@ -271,13 +272,24 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     of = members.join(first.withColumnRenamed("u", "t"), "t", "left").withColumn("c", F.coalesce("c", "t"))
     of = materialize(of.select("t", "band", "b", "c"))
-    left = of.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = left.select("b", (F.col("n") > SMALL).alias("large"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # of each bucket left in several classes, the largest class is only compared with the rest
+    every = of.groupBy("b", "c").agg(F.count("*").alias("n")).groupBy("b")
+    left = materialize(every.agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1"))
+    blocks = left.select(
+        "b",
+        F.col("top.c").alias("main"),
+        (F.col("n") > SMALL).alias("large"),
+        F.when(F.col("n") > BLOCK, F.ceil((F.col("n") - F.col("top.n")) / BLOCK)).otherwise(1).cast("int").alias("rest"),
+        F.when(F.col("n") > BLOCK, F.ceil(F.col("top.n") / BLOCK)).otherwise(0).cast("int").alias("more"),
+    )
     # a text's copies from different tasks have the same sketch
     sketches = signed.join(of.join(left, "b", "left_semi").select("t").distinct(), "t", "left_semi").select("t", "sketch").dropDuplicates(["t"])
     fine = _fine(texts.join(of.join(left.where(F.col("n") > SMALL), "b", "left_semi").select("t").distinct(), "t", "left_semi"))
-    dealt = of.join(blocks, "b").withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int")).join(sketches, "t").join(fine, "t", "left")
-    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    in_main = (F.col("c") == F.col("main")) & (F.col("more") > 0)
+    own = F.when(in_main, F.col("rest") + F.pmod(F.xxhash64("t"), F.col("more"))).otherwise(F.pmod(F.xxhash64("t"), F.col("rest")))
+    dealt = of.join(blocks, "b").withColumn("own", own.cast("int")).join(sketches, "t").join(fine, "t", "left")
+    last = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     met = met.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "c", "sketch", "band", F.when(F.col("large"), F.col("fine")).alias("fine"))
     more = met.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(lambda it: _across(it, threshold), "u long, v long").distinct()
     known = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))

@@ -163,6 +163,18 @@ def test_links_across_classes_of_a_large_bucket(spark, monkeypatch):
     assert links and all(out[i] == out[i + 1] for i in links)
 
 
+def test_low_bytes_that_agree_by_chance_hide_no_pair():
+    """Band 0 agrees in the registers' low bytes alone; the pair meets in band 3 and nowhere else."""
+    sketch = np.zeros(near_dedup.REGISTERS, np.uint8)
+    other = sketch.copy()
+    other[near_dedup.ROWS : 3 * near_dedup.ROWS] = 1
+    bands = [list(range(near_dedup.BANDS)), [-1, -2, -3, *range(3, near_dedup.BANDS)]]
+    rows = [{"b": 9, "i": 0, "j": 0, "own": 0, "t": t, "c": t, "sketch": s.tobytes(), "bands": x, "band": 3, "fine": None} for t, s, x in zip((1, 2), (sketch, other), bands, strict=True)]
+    kinds = near_dedup.pa.schema({"b": "int64", "i": "int32", "j": "int32", "own": "int32", "t": "int64", "c": "int64", "sketch": "binary", "bands": near_dedup.pa.list_(near_dedup.pa.int64()), "band": "int32", "fine": "binary"}.items())
+    out = [r for b in near_dedup._across(iter([near_dedup.pa.RecordBatch.from_pylist(rows, kinds)]), 0.8) for r in b.to_pylist()]
+    assert out == [{"u": 1, "v": 2}]
+
+
 def test_links_between_the_largest_class_of_a_bucket_and_the_rest(spark, monkeypatch):
     """Texts near to the hub, and others that only texts beside the hub link: classes are those of all pairs."""
     monkeypatch.setattr(near_dedup, "SMALL", 2)

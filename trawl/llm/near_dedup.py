@@ -14,7 +14,7 @@ THRESHOLD or more, and classes are what links connect:
    classes, in blocks of BLOCK texts by their registers' low bytes; a bucket's largest class is
    only dealt to the blocks of its other members. Pairs whose estimate is within
    MARGIN (four standard deviations) of the threshold are compared exactly, each only in the first
-   band that it shares. Members of buckets over SMALL first get FINE registers, whose estimates
+   band whose full hash it shares. Members of buckets over SMALL first get FINE registers, whose estimates
    leave few pairs that are not links.
 
 So no link between different texts that meet in a band is lost (at J_P = 0.8 all but 2 in 100,000
@@ -201,13 +201,14 @@ def _fine(texts: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (b, i, j, own, t, c, sketch, band, fine), sorted by b, i, j: pairs of different c that may be near, from whole groups."""
+    """Rows (b, i, j, own, t, c, sketch, bands, band, fine), sorted by b, i, j: pairs of different c that may be near, from whole groups."""
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         block, own = (t.column(k).to_numpy() for k in ("j", "own"))
         same = t.column("i").to_numpy() == block
         ts, cs, band = (t.column(k).to_numpy() for k in ("t", "c", "band"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        bands = np.concatenate([x.flatten().to_numpy() for x in t.column("bands").chunks]).reshape(-1, BANDS)
         fine = t.column("fine")
         if fine.null_count:
             full, least = sketch, (threshold - MARGIN) * REGISTERS
@@ -221,7 +222,7 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             for x in range(0, len(others), 4096):
                 other = others[x : x + 4096]
                 other = other[(full[other] == full[k]).sum(1) >= least]
-                first = (sketch[other] == sketch[k]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[k]
+                first = (bands[other] == bands[k]).argmax(1) == band[k]
                 us.append(np.full(first.sum(), ts[k])), vs.append(ts[other[first]])
         return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64),) * 2
 
@@ -282,15 +283,15 @@ def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.when(F.col("n") > BLOCK, F.ceil((F.col("n") - F.col("top.n")) / BLOCK)).otherwise(1).cast("int").alias("rest"),
         F.when(F.col("n") > BLOCK, F.ceil(F.col("top.n") / BLOCK)).otherwise(0).cast("int").alias("more"),
     )
-    # a text's copies from different tasks have the same sketch
-    sketches = signed.join(of.join(left, "b", "left_semi").select("t").distinct(), "t", "left_semi").select("t", "sketch").dropDuplicates(["t"])
+    # a text's copies from different tasks have the same sketch and bands
+    sketches = signed.join(of.join(left, "b", "left_semi").select("t").distinct(), "t", "left_semi").select("t", "sketch", "bands").dropDuplicates(["t"])
     fine = _fine(texts.join(of.join(left.where(F.col("n") > SMALL), "b", "left_semi").select("t").distinct(), "t", "left_semi"))
     in_main = (F.col("c") == F.col("main")) & (F.col("more") > 0)
     own = F.when(in_main, F.col("rest") + F.pmod(F.xxhash64("t"), F.col("more"))).otherwise(F.pmod(F.xxhash64("t"), F.col("rest")))
     dealt = of.join(blocks, "b").withColumn("own", own.cast("int")).join(sketches, "t").join(fine, "t", "left")
     last = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    met = met.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "c", "sketch", "band", F.when(F.col("large"), F.col("fine")).alias("fine"))
+    met = met.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "c", "sketch", "bands", "band", F.when(F.col("large"), F.col("fine")).alias("fine"))
     more = met.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(lambda it: _across(it, threshold), "u long, v long").distinct()
     known = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     second = materialize(_linked(materialize(more.join(known, ["u", "v"], "left_anti")), texts, threshold))

@@ -163,6 +163,21 @@ def test_links_across_classes_of_a_large_bucket(spark, monkeypatch):
     assert links and all(out[i] == out[i + 1] for i in links)
 
 
+def test_pairs_at_exactly_the_threshold_are_linked(spark):
+    """4n/5 of n shingles in common, for n whose float sums fall below 0.8 too; one shingle less is no link."""
+    pairs, texts, due = [], [], set()
+    for n in (5, 10, 15, 60, 65, 75, 80, 500):
+        for less in (0, 1):
+            common = 4 * n // 5 - less
+            both = [f"n{n}_{less}_{k}" for k in range(common + 4)]
+            u = 2 * len(pairs)
+            pairs.append((u, u + 1))
+            texts += [(u, " ".join(both)), (u + 1, " ".join([*both, *(f"m{n}_{less}_{k}" for k in range(n - common))]))]
+            due |= {(u, u + 1)} if not less else set()
+    out = near_dedup._linked(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(texts, "t long, text string"), 0.8)
+    assert {(r.u, r.v) for r in out.collect()} == due
+
+
 def test_low_bytes_that_agree_by_chance_hide_no_pair():
     """Band 0 agrees in the registers' low bytes alone; the pair meets in band 3 and nowhere else."""
     sketch = np.zeros(near_dedup.REGISTERS, np.uint8)

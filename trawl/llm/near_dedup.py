@@ -43,6 +43,8 @@ from trawl.llm.shared import bitmap, chunks, materialize, mix, pick, prefix_hash
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, MARGIN = 5, 0.8, 36, 6, 1024, 0.11
 SMALL, FINE, FINE_MARGIN = 64, 1024, 0.05
+#: Sums of floats come out this close to the J_P that they stand for.
+ROUNDING = 1e-9
 REGISTERS = BANDS * ROWS
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -182,7 +184,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
         for b in batches:
             u, v, a, c = (b.column(k).to_pylist() for k in ("u", "v", "a", "c"))
-            near = [probability_jaccard(profile(v[k], c[k]), profile(u[k], a[k])) >= threshold for k in range(b.num_rows)]
+            near = [probability_jaccard(profile(v[k], c[k]), profile(u[k], a[k])) >= threshold - ROUNDING for k in range(b.num_rows)]
             yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     left = pairs.join(texts.toDF("u", "a"), "u")

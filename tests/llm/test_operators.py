@@ -329,6 +329,17 @@ def test_quality_outliers(spark):
     assert {r.doc_id for r in out if not r.kept} == set(range(1000, 1020))
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_third_of_junk_is_still_rejected(spark, copies):
+    """Junk, in copies or not, is a third of its group; and copies of it are the most of a group."""
+    r = random.Random(3)
+    junk = lambda i: " ".join(w + "###$$" for w in prose(0 if copies else i, 80).split())
+    rows = [(i, prose(i, r.randrange(60, 200)), "en", "a") for i in range(300)]
+    rows += [(1000 + i, junk(i), "en", "a") for i in range(600 if copies else 150)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()
+    assert len(out) == len(rows) and {r.doc_id for r in out if not r.kept} == {i for i, *_ in rows if i >= 1000}
+
+
 def test_classifier(spark, docs, none):
     r = random.Random(2)
     rows = [(i, prose(i, r.randrange(30, 90)) if i % 4 else " ".join("$%#" + w.upper() for w in prose(i, 60).split())) for i in range(1200)]

@@ -2,8 +2,9 @@
 
 Every text becomes a vector of five transformed statistics. For each (lang, source) the minimum
 covariance determinant is sought by concentration steps from two starts (median and MAD; mean and
-standard deviation): the share of rows nearest to the centre gives the next centre and covariance,
-and the start that ends with the lower determinant is taken. A row is rejected when its squared
+standard deviation): the half of the vectors nearest to the centre gives the next centre and covariance,
+and the start that ends with the lower determinant is taken. Equal vectors of a (lang, source) count
+once, so copies can't outvote the rest; of different vectors, just under half may be outliers. A row is rejected when its squared
 Mahalanobis distance, scaled so that its median is that of a chi-square, exceeds CUTOFF.
 
 DataFrame functions only. Statistics are made once and kept as a table in the shared folder; groups
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trawl.llm.shared import materialize, pick, table
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
-LEAST_ROWS, HALF, STEPS, SALTS = 200, 0.75, 3, 64
+LEAST_ROWS, HALF, STEPS, SALTS = 200, 0.5, 3, 64
 #: A chi-square with five degrees of freedom has this median; the cutoff lies far beyond its 1 - 1e-6 quantile of 38.
 CHI_MEDIAN, CUTOFF = 4.3515, 120.0
 #: Standard deviations below which a statistic doesn't count as varying at all.
@@ -174,10 +175,11 @@ def quality_rules(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, leas
     made = with_stats(plain.select(F.col(at["text"]).alias("text"), *group.values(), *[F.col(at[k]).alias(out[k]) for k in keep]))
     made = materialize(made.drop("text"))
     # copies have one vector, so the salt is the row's place in its file
-    keyed = made.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    keyed = _with(keyed, materialize(_groups(made, least)), ["_lang", "_source"], "left")
-    judged = keyed.where(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", "_salt", *XS)
-    estimates = mcd(judged)
+    salted = lambda df, salt: df.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
+    vectors = materialize(salted(made.select("_lang", "_source", "base_failed", *XS).distinct(), F.xxhash64(*XS)))
+    groups = materialize(_groups(vectors, least))
+    keyed = _with(salted(made, F.monotonically_increasing_id()), groups, ["_lang", "_source"], "left")
+    estimates = mcd(_with(vectors, groups, ["_lang", "_source"]).where(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", "_salt", *XS))
     far = _distance(_with(keyed, estimates, ["_group"], "left")).withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(0.2)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return far.select(*[F.col(out[k]).alias(k) for k in keep], *STATS, "base_failed", kept.alias("kept"), "distance")

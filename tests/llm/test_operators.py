@@ -340,6 +340,21 @@ def test_a_third_of_junk_is_still_rejected(spark, copies):
     assert len(out) == len(rows) and {r.doc_id for r in out if not r.kept} == {i for i, *_ in rows if i >= 1000}
 
 
+def test_leftovers_are_held_to_the_estimates_of_all(spark):
+    """Few rows of a rare language: junk is not its own measure, and a long clean text is kept among short ones."""
+    r = random.Random(5)
+    rows = [(i, prose(i, r.randrange(60, 200)), "en", "a") for i in range(300)]
+    junk = [(1000 + i, " ".join(w + "###$$" for w in prose(7, 80).split()), "xx", None) for i in range(3)]
+    clean = [(2000 + i, prose(2000 + i, 190 if i == 4 else 62), None, "b") for i in range(5)]
+    schema = "doc_id long, text string, lang string, source string"
+    for some in (junk, clean):
+        out = quality_rules.quality_rules(spark.createDataFrame(rows + some, schema), ["doc_id"]).collect()
+        assert len(out) == len(rows + some) and {x.doc_id for x in out if not x.kept} == {x[0] for x in junk if some is junk}
+    # rows that fail the base limits don't make a group large enough
+    few = rows[:150] + [(3000 + i, "short" + "y" * i, "en", "a") for i in range(100)]
+    assert all(x.distance is None and x.kept == (x.doc_id < 1000) for x in quality_rules.quality_rules(spark.createDataFrame(few, schema), ["doc_id"]).collect())
+
+
 def test_classifier(spark, docs, none):
     r = random.Random(2)
     rows = [(i, prose(i, r.randrange(30, 90)) if i % 4 else " ".join("$%#" + w.upper() for w in prose(i, 60).split())) for i in range(1200)]

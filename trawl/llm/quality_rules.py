@@ -13,8 +13,10 @@ of estimates are joined back by group and salt: AQE broadcasts them while they a
 it doesn't, a hot group is dealt over SALTS tasks and aggregated in each before it is brought together.
 
 Defined results: null and empty texts have no words and fail the base limits; null languages and
-sources are groups of their own; (lang, source) groups of fewer than LEAST_ROWS rows are pooled
-by language, then all together, and what is still smaller is only held to the base limits. Rows
+sources are groups of their own. Rows that fail the base limits enter no estimates. (lang, source)
+groups of fewer than LEAST_ROWS different vectors are pooled by language; what is still smaller is
+held to the estimates of all groups' vectors together, and where even those are fewer, only to the
+base limits. Rows
 are judged one by one, so repeated rows and null doc_ids stay as they are; extra columns are
 carried through or left out, and an empty table gives an empty result.
 """
@@ -97,8 +99,8 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame, least: int) -> DataFrame:
-    """Of each (_lang, _source) the _group whose estimates hold for it; none where even all rows are too few."""
-    counts = materialize(rows.groupBy("_lang", "_source").agg(F.count("*").alias("n")))
+    """Of each (_lang, _source) the _group whose estimates hold for it; none where even all judged rows are too few."""
+    counts = materialize(rows.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("n")))
     by_lang = counts.where(F.col("n") < least).groupBy("_lang").agg(F.sum("n").alias("n_lang"))
     total = counts.agg(F.sum("n").alias("n_all"))
     own = F.concat_ws("\x01", F.lit("own"), "_lang", "_source")
@@ -179,7 +181,12 @@ def quality_rules(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, leas
     vectors = materialize(salted(made.select("_lang", "_source", "base_failed", *XS).distinct(), F.xxhash64(*XS)))
     groups = materialize(_groups(vectors, least))
     keyed = _with(salted(made, F.monotonically_increasing_id()), groups, ["_lang", "_source"], "left")
-    estimates = mcd(_with(vectors, groups, ["_lang", "_source"]).where(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", "_salt", *XS))
+    dealt = _with(vectors.where(~F.col("base_failed")), groups, ["_lang", "_source"])
+    judged = dealt.where(F.col("_group").isNotNull() & (F.col("_group") != "all")).select("_group", "_salt", *XS)
+    if groups.where(F.col("_group") == "all").limit(1).count():
+        # a leftover may be a single row: it is held to everyone's estimates, not to its own
+        judged = judged.union(dealt.select(F.lit("all"), "_salt", *XS))
+    estimates = mcd(judged)
     far = _distance(_with(keyed, estimates, ["_group"], "left")).withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(0.2)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return far.select(*[F.col(out[k]).alias(k) for k in keep], *STATS, "base_failed", kept.alias("kept"), "distance")

@@ -230,6 +230,17 @@ def test_licenses(docs, none):
     assert not licenses.license_scan(none).collect()
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("# Permission is hereby granted, free of charge, to any person\r\n# obtaining a copy of this software and associated documentation\r\n# files (the Software)", "mit"),
+    ("Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that\nthe following conditions are met:", "bsd"),
+    ("All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met", "all-rights-reserved,bsd"),
+    ("This work is licensed under the GNU General Public\nLicense, version 3. Licensed under the Apache License, Version 2.1.", "apache-2,gpl-3"),
+    ("Permission is hereby granted, free of charge,\n" + "and other words " * 9 + "\nto any person obtaining a copy of this software", ""),
+])
+def test_wrapped_and_neighbouring_notices(spark, text, labels):
+    assert [r.labels for r in licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [labels]
+
+
 def test_secrets(docs, none):
     forms = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
     for text, sha, *counts, spans in by_text(docs, secrets.secret_digest(docs), "base_sha256", "n_assign", "n_access", "n_hex", "spans"):

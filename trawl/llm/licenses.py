@@ -1,12 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines. A block fits a template when it holds at least THRESHOLD of the template's
+Blocks are lines, and windows of words as long as a template, whatever lines they lie in, so that
+wrapped notices, and several in one line, are found. A block fits a template when it holds at least THRESHOLD of the template's
 distinct words. Words are ordered by how rarely they occur in the whole corpus; a block is a
 candidate only if it holds a word of the template's prefix (prefix filter), has enough words
 (length filter) and enough of the ordered words remain after the first common one (positional
 filter). Candidates are counted exactly, so the result is that of comparing all blocks with all
-templates. A block is labelled after the fitting templates that it holds
-the largest share of. The templates are the bounded side: TEMPLATES, or what the caller passes.
+templates. A line is labelled after the fitting templates that it holds the largest share of; a
+window after its template, unless more than half of the words it shares with it lie in windows
+that fit others better. The templates are the bounded side: TEMPLATES, or what the caller passes.
 
 Beside that stand the fixed phrases of PHRASES, whose words must follow one another.
 
@@ -78,13 +80,14 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
         self.order = {w: k for k, w in enumerate(sorted({w for _, t in templates for w in tokens(t)}, key=lambda w: (counts.get(w, 0), w)))}
-        self.sets, self.index = [], {}
+        self.sets, self.lengths, self.index = [], [], {}
         for label, text in templates:
             if words := sorted(set(tokens(text)), key=self.order.__getitem__):
                 need = math.ceil(threshold * len(words) - 1e-9)
                 for i, w in enumerate(words[: len(words) - need + 1]):
                     self.index.setdefault(w, []).append((len(self.sets), i))
                 self.sets.append((label, frozenset(words), len(words), need))
+                self.lengths.append(len(tokens(text)))
         self.keys = frozenset(self.index)
 
     def fits(self, block: list[bytes]) -> list[tuple[str, float]]:
@@ -102,6 +105,41 @@ class Templates:
                     out.append((label, common / size))
         return out
 
+    def windows(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of the templates that windows of their length fit, best fits first."""
+        places: dict[bytes, list[int]] = {}
+        for at, w in enumerate(words):
+            if w in self.order:
+                places.setdefault(w, []).append(at)
+        tried = {k for w in self.keys.intersection(places) for k, _ in self.index[w]}
+        found = []
+        for k in sorted(tried):
+            _, every, size, need = self.sets[k]
+            if sum(w in places for w in every) < need:
+                continue
+            hits = sorted((at, w) for w in every for at in places.get(w, ()))
+            held: dict[bytes, int] = {}
+            first = 0
+            for last, (at, w) in enumerate(hits):
+                held[w] = held.get(w, 0) + 1
+                while hits[first][0] <= at - self.lengths[k]:
+                    out = hits[first][1]
+                    held[out] -= 1
+                    if not held[out]:
+                        del held[out]
+                    first += 1
+                if len(held) >= need:
+                    found.append((len(held) / size, k, [h[0] for h in hits[first : last + 1]]))
+        found.sort(key=lambda f: -f[0])
+        best: dict[int, float] = {}
+        out = []
+        for share, k, at in found:
+            if 2 * sum(best.get(i, 0.0) > share for i in at) <= len(at):
+                out.append((self.sets[k][0], share))
+                for i in at:
+                    best.setdefault(i, share)
+        return out
+
 
 def template_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
     """How often each template word occurs in the corpus; as many rows as the templates have words."""
@@ -143,6 +181,9 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                     most = max((share for _, share in fits), default=0.0)
                     labels.update(label for label, share in fits if share == most)
                     score = max(score, most)
+            for label, share in known.windows(words):
+                labels.add(label)
+                score = max(score, share)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -165,7 +206,7 @@ def _sql_text(text: str) -> str:
 
 
 def oracle_sql() -> str:
-    """The same by comparing every line with every template."""
+    """The same by comparing every line with every template; windows over lines are not in it."""
     words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({_sql_text(p)}, {_sql_text(x)}, {len(p.split())})" for p, x in PHRASES.items())

@@ -260,6 +260,18 @@ def test_lexed_literals(text, literals):
     assert [text[i:j] for _, i, j, *_ in secrets.lexed_spans(text)] == literals
 
 
+@pytest.mark.parametrize(("text", "n"), [
+    ("client_secret" + " " * 100 + '= "q8Zr1LmP0xTq9vW"', 1), ("client_secret." + "part." * 20 + 'x = "q8Zr1LmP0xTq9vW"', 1), ('"client_secret' + ".x" * 60 + '": "q8Zr1LmP0xTq9vW"', 1),
+    ('a = "q8Zr1LmP0xTq9vW"\r\nsecret_value = a\r\n', 1), ('a = "q8Zr1LmP0xTq9vW"\nsecret_value = a # note', 1), ('cfg.k = "q8Zr1LmP0xTq9vW"\nsecret_value = cfg.k', 1),
+    ('cfg.k = "q8Zr1LmP0xTq9vW"\nx = {secret_value: cfg.k}', 1), ('a = "q8Zr1LmP0xTq9vW"\nx = [secret_value = a]', 1), ('a = "q8Zr1LmP0xTq9vW"\nsecret_value = a// note', 1),
+    ('cfg.k = "q8Zr1LmP0xTq9vW"\r\npwd = cfg.k+"Zq83hfLw02Pq"\r\n', 2), ('cfg.k = "q8Zr1LmP0xTq9vW"\npwd = "Zq83hfLw02Pq" + cfg.k', 2),
+])
+def test_long_names_and_every_reference(text, n):
+    literals = ["q8Zr1LmP0xTq9vW", "Zq83hfLw02Pq"][:n]
+    assert sorted(text[i:j] for _, i, j, *_ in secrets.lexed_spans(text)) == sorted(literals)
+    assert not any(x in secrets.redact(text) for x in literals)
+
+
 def test_constants_carry_without_limit():
     text = 'a = "q8Zr1LmP"\n' + 'a = a + "0xTq9vWk"\n' * 200 + "secret_value = a\n"
     assert sum(s[0] == "lex" for s in secrets.all_spans(text)) == 201

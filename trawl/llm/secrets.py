@@ -39,7 +39,8 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+*/-])=(?![=>])|(?<![:=]):(?![:=/])")
-_NAME = re.compile(r"""(["']?)([A-Za-z_][A-Za-z0-9_.-]{0,79})\1[ \t]*$""")
+_NAME_START = re.compile(r"[A-Za-z_]")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _OPERAND = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_]*)(?=[ \t]*(?:[+;,)\n]|$))|([A-Za-z0-9+/_.=@!%^~-]+))""")
 _PLUS = re.compile(r"[ \t]*\+")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -96,30 +97,69 @@ class Value:
                 todo += v.carried
 
 
+def name_before(text: str, end: int) -> str | None:
+    """The name, quoted or not, that ends before end, blanks aside. No operator is passed, so all calls are linear together."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    quote = text[end - 1] if end and text[end - 1] in "\"'" else ""
+    end -= len(quote)
+    start = end
+    while start and text[start - 1] in _NAME_CHARS:
+        start -= 1
+    if quote:
+        return text[start:end] if start and text[start - 1] == quote and _NAME_START.match(text, start, end) else None
+    first = _NAME_START.search(text, start, end)
+    return text[first.start() : end] if first else None
+
+
+def bare_operands(text: str, start: int, end: int, constants: dict[str, Value]) -> Iterator[tuple[int, int]]:
+    """The span of a bare literal, or those of its terms if one of them, up to //, is the name of a constant."""
+    upto = text.find("//", start, end)
+    upto = end if upto < 0 else upto
+    terms, at = [], start
+    for term in text[start:upto].split("+"):
+        if term:
+            terms.append((at, at + len(term)))
+        at += len(term) + 1
+    if text[end : end + 1] not in ("(", "[") and any(text[i:j] in constants for i, j in terms):
+        yield from terms
+    else:
+        yield start, end
+
+
 def lexed_spans(text: str, least: float = LEAST_SCORE) -> list[Span]:
     """Literals that reach a sensitive name, directly, through a named constant or in a sum."""
     constants: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
     for op in _OPERATOR.finditer(text):
-        name = _NAME.search(text, max(0, op.start() - 96), op.start())
+        name = name_before(text, op.start())
         if not name:
             continue
         spans, carried, at = [], [], op.end()
         while m := _OPERAND.match(text, at):
-            if m[3] is None:
-                spans.append(next(m.span(k) for k in (1, 2, 4) if m[k] is not None))
+            end = m.end()
+            if m[4] is not None:
+                for i, j in bare_operands(text, *m.span(4), constants):
+                    if text[i:j] in constants and text[end : end + 1] not in ("(", "["):
+                        carried.append(constants[text[i:j]])
+                    else:
+                        spans.append((i, j))
+                if carried and m[4].endswith("+"):
+                    end -= 1
+            elif m[3] is None:
+                spans.append(m.span(1 if m[1] is not None else 2))
             elif m[3] in constants:
                 carried.append(constants[m[3]])
             elif at == op.end():
                 spans.append(m.span(3))
-            plus = _PLUS.match(text, m.end())
+            plus = _PLUS.match(text, end)
             if not plus:
                 break
             at = plus.end()
         if not spans and not carried:
             continue
-        constants[name[2]] = value = Value(text, spans, carried)
-        if (s := name_score(name[2])) and s * value.score(text) >= least:
+        constants[name] = value = Value(text, spans, carried)
+        if (s := name_score(name)) and s * value.score(text) >= least:
             found.update((i, j) for i, j in value.tell() if j > i)
     return [("lex", i, j, i, j) for i, j in sorted(found)]
 

@@ -395,6 +395,21 @@ def test_classifier(spark, docs, none):
     assert {x.score for x in quality_classifier.quality_scores(docs, empty).collect()} == {0.5}
 
 
+def test_a_repeated_doc_id_gives_one_text_to_the_fit(spark, monkeypatch):
+    """Whatever the order of the rows, the sample is one text of each chosen doc_id."""
+    table = [(i, prose(i, 40)) for i in range(60)]
+    hot = next(i for i in range(60) if crc32(str(i).encode()) % 3 != 1)
+    table += [(hot, prose(100 + k, 40)) for k in range(300)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id long, quality int")
+    samples = []
+    monkeypatch.setattr(quality_classifier, "Model", lambda p, u: samples.append((p, u)))
+    for rows in (table, table[::-1]):
+        quality_classifier.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, 20, 40)
+    taken = [i for i in range(60) if crc32(str(i).encode()) % 3 != 1]
+    assert [len(x) for x in samples[0]] == [min(20, sum(i % 2 == 0 for i in taken)), min(40, len(taken))]
+    assert all(np.array_equal(x, y) for x, y in zip(*samples, strict=True))
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/7x?q", "http://a.example.net/de/81#f", "http://net/de/", "http://xnet/de/1", "https://x.org/es/?a=1", "ftp://h.com", "http://h.com?x=/en/", "http://example.com/en/8", "http://cheap-pills-99.example.biz/en/1?id=9&aff=8&sub=7&click=6", "http://garden.example.net/fr/12"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*urls, urls[3]])], "page_id long, url string, host string, verdict string")

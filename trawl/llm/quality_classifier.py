@@ -143,14 +143,15 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     lowest = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     trusted = pick(labels, "doc_id", "quality").where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
     chosen = lowest(trusted, positives).withColumn("trusted", F.lit(True)).union(lowest(ids.distinct(), unlabelled).withColumn("trusted", F.lit(False)))
-    texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("trusted", "text")  # of positives + unlabelled ids
+    # of positives + unlabelled ids; a doc_id may repeat in docs, and gives the text of least hash
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("trusted", "doc_id").agg(least).select("trusted", F.col("least.text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column("trusted"), pa.array([x.astype(np.float16).tobytes() for x in features(b.column("text").to_pylist())], pa.binary())], names=["trusted", "x"])
 
-    # a doc_id may repeat in docs: the sample stays within its bound all the same
-    rows = sorted((r.trusted, bytes(r.x)) for r in texts.mapInArrow(run, "trusted boolean, x binary").limit(2 * (positives + unlabelled)).collect())
+    rows = sorted((r.trusted, bytes(r.x)) for r in texts.mapInArrow(run, "trusted boolean, x binary").collect())
     every = np.frombuffer(b"".join(x for _, x in rows), np.float16).astype(np.float64).reshape(len(rows), DENSE + HASHED)
     mine = np.array([t for t, _ in rows], bool)
     return Model(every[mine], every[~mine])

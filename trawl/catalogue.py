@@ -30,7 +30,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built(spark: SparkSession, corpus: DataFrame, **options) -> CorpusIndex:
-    index = CorpusIndex(spark, scratch(spark))
+    index = CorpusIndex(spark, scratch(spark), keep_texts=True)
     index.build(corpus, **options)
     return index
 
@@ -266,7 +266,7 @@ SELECT coalesce(new.path, old.path) AS path, CASE WHEN new.path IS NULL THEN 'go
   THEN CASE WHEN strlen(new.text) > 9000 THEN 'large' ELSE 'extract' END ELSE 'reuse' END AS action FROM old FULL JOIN new ON old.path = new.path""")
 def change_detection(spark: SparkSession, d: str) -> DataFrame:
     old, new = _snapshots(spark, d)
-    return changes(new, classified(old, 9000).select(*FILES.names), 9000)
+    return changes(new, classified(old, 9000).select(*FILES.names), 9000).select("path", "action")
 
 
 @query(f"WITH new AS ({_DOCS} UNION ALL {_TALKS}), h AS (SELECT path, hex(encode(text)) AS x FROM new WHERE strlen(text) <= 9000) SELECT path, count(DISTINCT substr(x, 2 * i - 1, 6)) AS trigrams FROM (SELECT path, x, unnest(range(1, CAST(len(x) / 2 AS BIGINT) - 1)) AS i FROM h) GROUP BY path")

@@ -6,6 +6,7 @@ import argparse
 import os
 import sys
 import time
+from functools import partial
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -73,7 +74,7 @@ def run_search(args: argparse.Namespace, out=sys.stdout, err=sys.stderr) -> int:
         args.ignore_case, args.fixed, tuple(scopes_of(args.paths, top)), tuple(args.globs), tuple(args.types), tuple(args.not_types), args.max_count,
         0 if plainly else max(around, args.before), 0 if plainly else max(around, args.after),
     )
-    search = Search(corpus, args.pattern, options, index)
+    search = Search(corpus, args.pattern, options, index, partial(from_tree, spark, top))
     terminal = out.isatty()
     if args.list_files:
         rows = (r.path for r in search.files().orderBy("path").toLocalIterator())
@@ -117,8 +118,14 @@ def run_command(name: str, path: str, out=sys.stdout, err=sys.stderr) -> int:
         watch(spark, index, lambda: from_tree(spark, root), folder).awaitTermination()
     else:
         from trawl.rpc import Service
+        from trawl.streaming.watch import watch
 
-        Service(spark, root).run(sys.stdin, out)
+        # the watcher's first batch builds the index or brings it up to date
+        watching = watch(spark, index, lambda: from_tree(spark, root), folder)
+        try:
+            Service(spark, root).run(sys.stdin, out)
+        finally:
+            watching.stop()
     return 0
 
 

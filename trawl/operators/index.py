@@ -1,34 +1,50 @@
-"""The trigram index: tables of files and postings in versioned folders, published by a pointer.
+"""The trigram index: files, postings and, where asked for, texts in folders, published by a pointer.
 
-Identifiers are hashes of the path, so a refresh needs no relabelling: postings of unchanged texts
-are kept by a semi join, only new and changed ones are read. A version is written aside and becomes
-current when the pointer file is renamed, so readers see the old one or the new one.
+An identifier stands for one state of a text: the hash of its path, size and version. So nothing is
+ever relabelled or deleted in place: a refresh appends a segment with the postings of what is new or
+changed, and writes the table of files anew; postings of identifiers that no file has any longer are
+dead, and left out when they are read. Many segments, or many dead files, are merged into one. A
+version becomes current when the pointer file is renamed, so readers see the old one or the new one;
+what neither of these two names is deleted.
+
+An index that keeps texts is a snapshot: a search reads the texts of its candidates from it, sorted
+by identifier in small row groups and pages, and nothing else.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trawl.operators.lines import looks_binary
 from trawl.plans.trigrams import Query
-from trawl.schemas import BINARY, FILES, FORMAT_VERSION, POSTINGS, SCAN_ALWAYS
+from trawl.schemas import BINARY, FILES, FORMAT_VERSION, POSTINGS, SCAN_ALWAYS, TEXTS
 
 MAX_FILE_SIZE = 16 << 20
+#: Content that a Python worker takes apart at once.
+SLICE_BYTES = 8 << 20
+#: Most candidates that the driver names one by one to the reader; beyond, every text is read.
+MOST_IDS, IDS_A_TEST = 20_000, 400
+#: Segments of an index, and dead files to a live one, above which they are merged.
+MOST_SEGMENTS, MOST_DEAD = 8, 0.5
 
 
 class IndexFault(RuntimeError):
     """There is no index, or it isn't one this version can read."""
 
 
-def file_id(path: Column | str) -> Column:
-    return F.xxhash64(path)
+def file_id() -> Column:
+    return F.xxhash64("path", "size", "mtime")
 
 
 def trigrams(content: Column) -> Column:
@@ -42,15 +58,18 @@ def extract(rows: DataFrame) -> DataFrame:
     """file_id, content -> tri, file_id, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, content = b.column("file_id").to_numpy(), b.column("content").to_pylist()
-            tris, of = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-            for i, c in zip(ids, content, strict=True):
-                a = np.frombuffer(c or b"", np.uint8).astype(np.int32)
-                t = np.unique((a[:-2] << 16) | (a[1:-1] << 8) | a[2:])
-                tris.append(t)
-                of.append(np.full(len(t), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tris), pa.int32()), pa.array(np.concatenate(of), pa.int64())], names=["tri", "file_id"])
+        for whole in batches:
+            size = np.cumsum(np.array(pc.fill_null(pc.binary_length(whole.column("content")), 0)))
+            cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), whole.num_rows]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                b = whole.slice(x, y - x)
+                tris, of = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+                for i, c in zip(b.column("file_id").to_numpy(), b.column("content").to_pylist(), strict=True):
+                    a = np.frombuffer(c or b"", np.uint8).astype(np.int32)
+                    t = np.unique((a[:-2] << 16) | (a[1:-1] << 8) | a[2:])
+                    tris.append(t)
+                    of.append(np.full(len(t), i))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tris), pa.int32()), pa.array(np.concatenate(of), pa.int64())], names=["tri", "file_id"])
 
     return rows.select("file_id", "content").mapInArrow(run, POSTINGS)
 
@@ -58,16 +77,23 @@ def extract(rows: DataFrame) -> DataFrame:
 def classified(corpus: DataFrame, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
     """corpus with file_id and flags; over the cap the content isn't looked at."""
     flags = F.when(F.col("size") > max_file_size, SCAN_ALWAYS).when(looks_binary(F.col("content")), BINARY).otherwise(0)
-    return corpus.withColumns({"file_id": file_id("path"), "flags": flags.cast("int")})
+    return corpus.withColumns({"file_id": file_id(), "flags": flags.cast("int")})
+
+
+def files_of(corpus: DataFrame, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """The table of files; of those over the cap no content is read."""
+    small = classified(corpus.where(F.col("size") <= max_file_size), max_file_size).select(*FILES.names)
+    large = corpus.where(F.col("size") > max_file_size).select(file_id().alias("file_id"), "path", "size", "mtime", F.lit(SCAN_ALWAYS).alias("flags"))
+    return small.unionByName(large)
 
 
 def changes(corpus: DataFrame, files: DataFrame, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """path, action: reuse (same size and mtime, on the same side of the cap), large, extract; files that are gone: gone."""
+    """path, action: reuse (same size and version, on the same side of the cap), large, extract; files that are gone: gone."""
     old = files.select("path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"), ((F.col("flags").bitwiseAND(SCAN_ALWAYS)) != 0).alias("was_large"))
     large = F.col("size") > max_file_size
     same = F.col("old_size").eqNullSafe(F.col("size")) & F.col("old_mtime").eqNullSafe(F.col("mtime")) & (F.col("was_large") == large)
     action = F.when(F.col("size").isNull(), "gone").when(same, "reuse").when(large, "large").otherwise("extract")
-    return corpus.select("path", "size", "mtime").join(old, "path", "full").select("path", action.alias("action"))
+    return corpus.select("path", "size", "mtime").join(old, "path", "full").select("path", action.alias("action"), F.col("old_size").isNotNull().alias("known"))
 
 
 def candidates(postings: DataFrame, query: Query) -> DataFrame:
@@ -77,19 +103,30 @@ def candidates(postings: DataFrame, query: Query) -> DataFrame:
         return postings.select("file_id").where(F.lit(False))
     hits = postings.where(F.col("tri").isin(wanted))
     if all(p.kind == "tri" for p in query.parts) and query.kind != "or":
-        return hits.groupBy("file_id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(wanted)).select("file_id")
+        return hits.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("file_id")
     flags = [F.bool_or(F.col("tri") == t).alias(f"t{t}") for t in wanted]
     return hits.groupBy("file_id").agg(*flags).where(query.column(lambda t: F.col(f"t{t}"))).select("file_id")
 
 
+def one_of(column: Column, ids: list[int]) -> Column:
+    """column is one of ids, as a balanced tree of short tests, each of which Parquet's reader prunes by."""
+    tests = [column.isin(ids[i : i + IDS_A_TEST]) for i in range(0, len(ids), IDS_A_TEST)] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
 class CorpusIndex:
-    """An index in a folder that driver and executors share."""
+    """An index in a folder that driver and executors share; with keep_texts also of the texts themselves."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, keep_texts: bool = False):
+        self.spark, self.folder, self.keep_texts = spark, folder.rstrip("/"), keep_texts
+        self._torn: str | None = None  # the version that a lookup could not read
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        # lists of up to so many values prune row groups and pages one by one, not by their range
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(IDS_A_TEST))
 
     def _pointer(self) -> dict | None:
         at = self._path(f"{self.folder}/CURRENT")
@@ -103,8 +140,8 @@ class CorpusIndex:
         finally:
             stream.close()
 
-    def _publish(self, meta: dict) -> None:
-        aside = self._path(f"{self.folder}/CURRENT.{meta['version']}")
+    def _publish(self, meta: dict) -> dict:
+        aside = self._path(f"{self.folder}/CURRENT.{uuid.uuid4().hex}")
         stream = self._fs.create(aside, True)
         stream.write(bytearray(json.dumps(meta).encode()))
         stream.close()
@@ -112,14 +149,25 @@ class CorpusIndex:
         if not self._fs.rename(aside, current):
             self._fs.delete(current, False)
             self._fs.rename(aside, current)
+        return meta
 
     @property
     def meta(self) -> dict:
         meta = self._pointer()
         if meta is None:
             raise IndexFault(f"{self.folder} has no index")
-        if meta.get("format") != FORMAT_VERSION:
-            raise IndexFault(f"{self.folder} has format {meta.get('format')}, not {FORMAT_VERSION}")
+        if not isinstance(meta, dict) or meta.get("format") != FORMAT_VERSION:
+            raise IndexFault(f"{self.folder} has another format than {FORMAT_VERSION}")
+        return meta
+
+    def validate(self) -> dict:
+        """meta, if every table that it names was written to its end; else IndexFault."""
+        meta = self.meta
+        if meta["version"] == self._torn:
+            raise IndexFault(f"{self.folder} can't be read")
+        for part in [f"v={meta['version']}/files", *(f"s={s}/postings" for s in meta["segments"])]:
+            if not self._fs.exists(self._path(f"{self.folder}/{part}/_SUCCESS")):
+                raise IndexFault(f"{self.folder}/{part} is missing or torn")
         return meta
 
     def exists(self) -> bool:
@@ -128,41 +176,128 @@ class CorpusIndex:
     def files(self) -> DataFrame:
         return self.spark.read.schema(FILES).parquet(f"{self.folder}/v={self.meta['version']}/files")
 
+    def _segments(self, meta: dict, table: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/s={s}/{table}" for s in meta["segments"]])
+
     def postings(self) -> DataFrame:
-        return self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/v={self.meta['version']}/postings")
-
-    def _write(self, files: DataFrame, postings: DataFrame, reused: int, **more) -> dict:
-        version = f"{time.time_ns()}"
-        top = f"{self.folder}/v={version}"
-        files.select(*FILES.names).write.parquet(f"{top}/files")
-        # sorted by trigram, so that a lookup reads few row groups
-        postings.select(*POSTINGS.names).repartitionByRange("tri").sortWithinPartitions("tri", "file_id").write.parquet(f"{top}/postings")
-        written = self.spark.read.schema(FILES).parquet(f"{top}/files")
+        """Of live files."""
+        meta = self.meta
+        every = self._segments(meta, "postings", POSTINGS)
+        return every.join(self.files().select("file_id"), "file_id", "left_semi").select(*POSTINGS.names) if meta["dead"] else every
+
+    def orphans(self) -> DataFrame:
+        """Postings that no file has, dead ones left aside; an index that is whole has none."""
+        return self.postings().join(self.files(), "file_id", "left_anti")
+
+    def lookup(self, query: Query) -> list[int] | None:
+        """Candidates among the indexed texts, or None where they are so many, or so damaged, that they narrow nothing."""
+        if query.kind in ("all", "none"):
+            return None if query.kind == "all" else []
+        meta = self.meta
+        most = min(MOST_IDS, meta["files_total"] // 2)
+        try:
+            rows = candidates(self._segments(meta, "postings", POSTINGS), query).limit(most + 1).collect()
+        except (PySparkException, Py4JJavaError):
+            self._torn = meta["version"]  # the next refresh builds anew
+            return None
+        return [r.file_id for r in rows] if len(rows) <= most else None
+
+    def texts_of(self, ids: list[int]) -> DataFrame:
+        """The kept texts of these files and of those always scanned, as rows of a corpus."""
+        meta = self.meta
+        rows = self._segments(meta, "texts", TEXTS).where(one_of(F.col("file_id"), ids) | (F.col("flags") == SCAN_ALWAYS))
+        if meta["dead"]:
+            live = self.files().where(one_of(F.col("file_id"), ids) | (F.col("flags") == SCAN_ALWAYS))
+            rows = rows.join(live.select("file_id"), "file_id", "left_semi")
+        return rows.select("path", "content", "size", "mtime")
+
+    def all_texts(self) -> DataFrame:
+        """The kept texts of all live files."""
+        meta = self.meta
+        rows = self._segments(meta, "texts", TEXTS)
+        return rows.join(self.files().select("file_id"), "file_id", "left_semi") if meta["dead"] else rows
+
+    def _texts(self, rows: DataFrame, segment: str) -> DataFrame:
+        # small row groups and pages, sorted: a lookup reads little beside what it wants
+        sorted_ = rows.select(*TEXTS.names).repartitionByRange("file_id").sortWithinPartitions("file_id")
+        sorted_.write.option("parquet.block.size", 16 << 20).option("parquet.page.size", 64 << 10).parquet(f"{self.folder}/s={segment}/texts")
+        return self.spark.read.schema(TEXTS).parquet(f"{self.folder}/s={segment}/texts")
+
+    def _postings(self, postings: DataFrame, segment: str) -> None:
+        """Kept once unsorted, as the ranges are made of a sample; a common trigram lies in several of them."""
+        aside = f"{self.folder}/s={segment}/unsorted"
+        postings.select(*POSTINGS.names).write.parquet(aside)
+        kept = self.spark.read.schema(POSTINGS).parquet(aside)
+        kept.repartitionByRange("tri", "file_id").sortWithinPartitions("tri", "file_id").write.parquet(f"{self.folder}/s={segment}/postings")
+        self._fs.delete(self._path(aside), True)
+
+    def _version(self, files: DataFrame, segments: list[str], reused: int, max_file_size: int, dead: int) -> dict:
+        before, version = self._pointer_or_none(), f"{time.time_ns()}"
+        files.select(*FILES.names).repartitionByRange("file_id").sortWithinPartitions("file_id").write.parquet(f"{self.folder}/v={version}/files")
         flag = F.col("flags")
-        stats = written.agg(
+        stats = self.spark.read.schema(FILES).parquet(f"{self.folder}/v={version}/files").agg(
             F.count("*").alias("files_total"), F.count_if(flag == 0).alias("indexed"), F.count_if(flag.bitwiseAND(BINARY) != 0).alias("binary"),
             F.count_if(flag.bitwiseAND(SCAN_ALWAYS) != 0).alias("scan_always"),
         ).first().asDict()
-        self._publish({"format": FORMAT_VERSION, "version": version, "refreshed": time.time(), "reused": reused, **more, **stats})
-        return self.meta
+        meta = self._publish({"format": FORMAT_VERSION, "version": version, "segments": segments, "dead": dead, "refreshed": time.time(), "reused": reused, "max_file_size": max_file_size, **stats})
+        needed = {f"v={m['version']}" for m in (meta, before) if m} | {f"s={s}" for m in (meta, before) if m for s in m["segments"]}
+        for at in self._fs.listStatus(self._path(self.folder)):
+            name = at.getPath().getName()
+            if name[:2] in ("v=", "s=", "t=") and name not in needed:
+                self._fs.delete(at.getPath(), True)
+        return meta
+
+    def _pointer_or_none(self) -> dict | None:
+        try:
+            return self.meta
+        except IndexFault:
+            return None
 
     def build(self, corpus: DataFrame, max_file_size: int = MAX_FILE_SIZE) -> dict:
-        rows = classified(corpus, max_file_size)
-        return self._write(rows, extract(rows.where("flags = 0")), 0, max_file_size=max_file_size)
+        segment = uuid.uuid4().hex
+        if self.keep_texts:
+            rows = self._texts(classified(corpus, max_file_size), segment)
+            files = rows.select(*FILES.names)
+        else:
+            files, rows = files_of(corpus, max_file_size), classified(corpus.where(F.col("size") <= max_file_size), max_file_size)
+        self._postings(extract(rows.where("flags = 0")), segment)
+        return self._version(files, [segment], 0, max_file_size, 0)
 
     def refresh(self, corpus: DataFrame, max_file_size: int = MAX_FILE_SIZE) -> dict:
-        """Reads only new and changed texts; an index that can't be read is built anew."""
+        """Reads only new and changed texts; an index that can't be read to its end is built anew."""
         try:
-            old_files, old_postings = self.files(), self.postings()
-            old_files.limit(1).collect(), old_postings.limit(1).collect()
-        except Exception:
+            return self._refreshed(corpus, max_file_size)
+        except (IndexFault, PySparkException, Py4JJavaError):
             return self.build(corpus, max_file_size)
-        steps = changes(corpus, old_files, max_file_size)
-        kept = old_files.join(steps.where("action = 'reuse'").select("path"), "path", "left_semi")
-        fresh = classified(corpus.join(steps.where("action in ('large', 'extract')").select("path"), "path", "left_semi"), max_file_size)
-        files = kept.select(*FILES.names).unionByName(fresh.select(*FILES.names))
-        postings = old_postings.join(kept.select("file_id"), "file_id", "left_semi").unionByName(extract(fresh.where("flags = 0")))
-        return self._write(files, postings, kept.count(), max_file_size=max_file_size)
+
+    def _refreshed(self, corpus: DataFrame, max_file_size: int) -> dict:
+        meta, old = self.validate(), self.files()
+        aside = f"{self.folder}/t={uuid.uuid4().hex}"
+        changes(corpus, old, max_file_size).where("action <> 'reuse'").write.parquet(aside)
+        steps = self.spark.read.parquet(aside)
+        n, lost = steps.agg(F.count("*"), F.count_if("known")).first()
+        if not n:
+            self._fs.delete(self._path(aside), True)
+            return self._publish(meta | {"refreshed": time.time(), "reused": meta["files_total"]})
+        changed = corpus.join(F.broadcast(steps.where("action <> 'gone'").select("path")) if n <= MOST_IDS else steps.where("action <> 'gone'").select("path"), "path", "left_semi")
+        kept, segment = old.join(steps.select("path"), "path", "left_anti"), uuid.uuid4().hex
+        dead = meta["dead"] + lost
+        merge = len(meta["segments"]) >= MOST_SEGMENTS or dead > MOST_DEAD * (meta["files_total"] - lost)
+        live = kept.select("file_id")
+        if self.keep_texts:
+            fresh = classified(changed, max_file_size).select(*TEXTS.names)
+            rows = self._texts(fresh.unionByName(self._segments(meta, "texts", TEXTS).join(live, "file_id", "left_semi").select(*TEXTS.names)) if merge else fresh, segment)
+            files = kept.unionByName(rows.join(live, "file_id", "left_anti").select(*FILES.names))
+            added = rows.join(live, "file_id", "left_anti") if merge else rows
+        else:
+            files = kept.unionByName(files_of(changed, max_file_size))
+            added = classified(changed.where(F.col("size") <= max_file_size), max_file_size)
+        postings = extract(added.where("flags = 0"))
+        if merge:
+            postings = postings.unionByName(self._segments(meta, "postings", POSTINGS).join(live, "file_id", "left_semi"))
+        self._postings(postings, segment)
+        segments = [segment] if merge else [*meta["segments"], segment]
+        return self._version(files, segments, meta["files_total"] - lost, max_file_size, 0 if merge else dead)
 
     def status(self) -> DataFrame:
         """One row: files, trigrams, postings, seconds since the last refresh."""

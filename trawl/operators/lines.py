@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trawl.functions.pattern import Pattern
 from trawl.plans.trigrams import Query
@@ -27,10 +27,19 @@ def may_match(content: Column, query: Query) -> Column:
     return query.column(lambda tri: F.contains(content, F.lit(bytearray(tri.to_bytes(3, "big")))))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def line_array(text: Column) -> Column:
     """The lines of a text, split at \\n only; an empty last one isn't a line."""
-    parts = F.split(text, "\n", -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def cut(t: Column) -> Column:
+        whole = F.when(t.endswith("\n"), F.substring(t, F.lit(1), F.char_length(t) - 1)).otherwise(t)
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n", -1))
+
+    return let(text, cut)
 
 
 def to_lines(corpus: DataFrame) -> DataFrame:
@@ -53,7 +62,7 @@ def line_matches(pattern: Pattern, line: Column, number: Column | None = None, i
         @F.pandas_udf("boolean")
         def found(lines: pd.Series) -> pd.Series:
             search = regex.compile(form).search
-            return lines.map(lambda x: search(x) is not None)
+            return lines.map(lambda x: None if x is None else search(x) is not None)
 
         return found(line)
 
@@ -103,50 +112,89 @@ def spans_of(pattern: Pattern, line: Column, number: Column, is_last: Column) ->
     return spans(line, number, is_last)
 
 
-def matching_lines(lines: DataFrame, pattern: Pattern, max_count: int | None = None) -> DataFrame:
-    """The matching lines, at most max_count of a text, in order of their numbers."""
-    hits = lines.where(line_matches(pattern, F.col("line"), F.col("line_number"), F.col("is_last")))
-    if max_count is None:
-        return hits
-    ranked = hits.withColumn("_rank", F.row_number().over(Window.partitionBy("path").orderBy("line_number")))
-    return ranked.where(F.col("_rank") <= max_count).drop("_rank")
+def _marked(lines: Column, pattern: Pattern) -> Column:
+    """Of each line: line_number, line, is_last, hit."""
+
+    def plain(x: Column, i: Column, n: Column, hit: Column) -> Column:
+        return F.struct((i + 1).cast("long").alias("line_number"), x.alias("line"), (i + 1 == n).alias("is_last"), hit.alias("hit"))
+
+    if not pattern.in_python:
+        return let(lines, lambda a: F.transform(a, lambda x, i: plain(x, i, F.size(a), line_matches(pattern, x, i + 1, i + 1 == F.size(a)))))
+    forms = {(f, e): pattern.python(f, e) for f in (True, False) for e in (True, False)}
+
+    @F.pandas_udf("array<boolean>")
+    def found(texts: pd.Series) -> pd.Series:
+        ready = {k: regex.compile(v).search for k, v in forms.items()}
+        return texts.map(lambda a: [ready[k == 0, k == len(a) - 1](x) is not None for k, x in enumerate(a)])
+
+    hits = found(lines)
+    return F.transform(F.arrays_zip(lines.alias("line"), hits.alias("hit")), lambda s, i: plain(s["line"], i, F.size(lines), s["hit"]))
+
+
+def _exploded(corpus: DataFrame, structs: Column) -> DataFrame:
+    """A row for each struct. The outer form keeps the optimizer from testing the array below, where it would be made again."""
+    return corpus.select("path", F.explode_outer(structs).alias("_s")).where("_s is not null").select("path", "_s.*")
+
+
+def _split(corpus: DataFrame) -> Column:
+    return line_array(text_of(F.col("content")))
+
+
+def matching_lines(corpus: DataFrame, pattern: Pattern, max_count: int | None = None) -> DataFrame:
+    """path, line_number, line, is_last of the matching lines, at most max_count of a text, in order of their numbers."""
+    hits = F.filter(_marked(_split(corpus), pattern), lambda s: s["hit"])
+    if max_count is not None:
+        hits = F.slice(hits, 1, max_count)
+    return _exploded(corpus, hits).drop("hit")
 
 
 def with_spans(hits: DataFrame, pattern: Pattern) -> DataFrame:
     return hits.withColumn("spans", spans_of(pattern, F.col("line"), F.col("line_number"), F.col("is_last")))
 
 
-def with_context(lines: DataFrame, pattern: Pattern, before: int, after: int, max_count: int | None = None) -> DataFrame:
+def with_context(corpus: DataFrame, pattern: Pattern, before: int, after: int, max_count: int | None = None) -> DataFrame:
     """Matching lines and their neighbours: is_match, and group_id, which grows at each gap.
 
-    A line past the cap that would match is a neighbour. Frames are bounded, so a window holds few rows.
+    A line past the cap that would match is a neighbour. All is done in the row of the text, without a shuffle.
     """
-    found = lines.withColumn("_hit", line_matches(pattern, F.col("line"), F.col("line_number"), F.col("is_last")))
-    ordered = Window.partitionBy("path").orderBy("line_number")
-    hit = F.col("_hit")
-    if max_count is not None:
-        hit = hit & (F.sum(F.col("_hit").cast("long")).over(ordered) <= max_count)
-    marked = found.withColumn("is_match", hit)
-    near = marked.withColumn("_near", F.max("is_match").over(ordered.rowsBetween(-after, before))).where("_near")
-    gap = F.coalesce(F.col("line_number") - F.lag("line_number").over(ordered) > 1, F.lit(False))
-    return near.withColumn("_gap", gap.cast("long")).withColumn("group_id", F.sum("_gap").over(ordered)).drop("_hit", "_near", "_gap")
 
+    def groups(lines: Column) -> Column:
+        every = F.transform(F.filter(lines, lambda s: s["hit"]), lambda s: s["line_number"])
+        return let(every if max_count is None else F.slice(every, 1, max_count), lambda at: spread(lines, at))
+
+    def spread(lines: Column, at: Column) -> Column:
+        apart = lambda p, q: q - before > p + after + 1
+        heads = F.filter(at, lambda p, j: (j == 0) | apart(F.get(at, j - 1), p))
+        tails = F.filter(at, lambda p, j: (j == F.size(at) - 1) | apart(p, F.get(at, j + 1)))
+        last = F.element_at(at, -1)
+        ranges = F.zip_with(heads, tails, lambda h, t: F.struct(F.greatest(h - before, F.lit(1)).alias("low"), F.least(t + after, F.size(lines)).alias("high")))
+        return F.transform(ranges, lambda r, g: F.transform(F.slice(lines, r["low"].cast("int"), (r["high"] - r["low"] + 1).cast("int")), lambda s: F.struct(
+            s["line_number"].alias("line_number"), s["line"].alias("line"), (s["hit"] & (s["line_number"] <= last)).alias("is_match"), g.cast("long").alias("group_id"))))
+
+    return _exploded(corpus, F.flatten(let(_marked(_split(corpus), pattern), groups)))
 
-def match_counts(hits: DataFrame) -> DataFrame:
+
+def match_counts(corpus: DataFrame, pattern: Pattern, max_count: int | None = None) -> DataFrame:
     """Matching lines per text; texts without any are absent."""
-    return hits.groupBy("path").agg(F.count("*").alias("matches"))
+    n = F.size(F.filter(_marked(_split(corpus), pattern), lambda s: s["hit"])).cast("long")
+    # counted in an exploded array of one, so that the filter below doesn't count once more
+    counts = corpus.select("path", F.explode_outer(F.array(n if max_count is None else F.least(n, F.lit(max_count).cast("long")))).alias("matches"))
+    return counts.where("matches > 0")
 
 
 def files_with_matches(corpus: DataFrame, pattern: Pattern) -> DataFrame:
     """Paths with a match, without making rows of their lines."""
-    text = text_of(F.col("content"))
-    if pattern.in_python or pattern.at_text_start or pattern.at_text_end:
-        return matching_lines(to_lines(corpus), pattern).select("path").distinct()
-    return corpus.where(F.exists(line_array(text), lambda x: line_matches(pattern, x))).select("path")
+    if pattern.in_python:
+        return match_counts(corpus, pattern).select("path")
+    test = let(_split(corpus), lambda a: F.exists(F.transform(a, lambda x, i: line_matches(pattern, x, i + 1, i + 1 == F.size(a))), lambda hit: hit))
+    if not (pattern.at_text_start or pattern.at_text_end):
+        test = F.exists(_split(corpus), lambda x: line_matches(pattern, x))
+    return corpus.where(test).select("path")
 
 
-def totals(hits: DataFrame) -> DataFrame:
-    return hits.agg(F.count("*").alias("matched_lines"), F.count_distinct("path").alias("matched_files"))
+def totals(counts: DataFrame) -> DataFrame:
+    """Of match_counts(): matched_lines, matched_files."""
+    return counts.agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("matched_lines"), F.count("*").alias("matched_files"))
 
 
 def json_lines(hits: DataFrame) -> DataFrame:

@@ -1,7 +1,14 @@
-"""Search: a pattern over a corpus, with or without the index, which never changes the result."""
+"""Search: a pattern over a corpus, with or without an index.
+
+With an index only its candidates are read: from its own texts if it keeps them (a search then sees
+the corpus as it was at the last refresh), else by the corpus's reader of named paths. Where
+neither is at hand, or the candidates are too many to narrow anything, the corpus is scanned, and
+the planner's condition is put to the texts themselves. The lines found are the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,10 +16,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trawl.functions.paths import in_scopes, of_types, passes_globs
 from trawl.functions.pattern import Pattern, compile_pattern
 from trawl.operators import lines as L
-from trawl.operators.index import CorpusIndex, candidates
+from trawl.operators.index import CorpusIndex, candidates, one_of
 from trawl.plans.trigrams import plan
 from trawl.schemas import BINARY, SCAN_ALWAYS
 
+#: Most paths that are given to a reader one by one.
+MOST_PATHS = 20_000
+
 
 @dataclass(frozen=True)
 class Options:
@@ -36,12 +46,13 @@ class Options:
 class Search:
     """One compiled search; its results are DataFrames."""
 
-    def __init__(self, corpus: DataFrame, pattern: str, options: Options | None = None, index: CorpusIndex | None = None):
+    def __init__(self, corpus: DataFrame, pattern: str, options: Options | None = None, index: CorpusIndex | None = None, read: Callable[[list[str]], DataFrame] | None = None):
+        """read gives the rows of named paths; without it, an index that keeps no texts narrows nothing."""
         self.options = options or Options()
         self.pattern: Pattern = compile_pattern(pattern, self.options.ignore_case, self.options.fixed)
         self.query = plan(self.pattern)
-        self.index = index
-        self.corpus = corpus.where(self.options.accepts(F.col("path")))
+        self.index, self.read = index, read
+        self.corpus = corpus
 
     def explain(self) -> str:
         return str(self.query)
@@ -55,16 +66,24 @@ class Search:
         hits = files.where(~always).join(candidates(self.index.postings(), self.query), "file_id", "left_semi")
         return hits.select("path").unionByName(files.where(always).select("path"))
 
+    def _narrowed(self) -> DataFrame:
+        """The corpus, or what the index leaves of it, where that is less."""
+        ids = self.index.lookup(self.query) if self.index is not None and (self.index.keep_texts or self.read) else None
+        if self.index is not None and self.index.keep_texts:
+            return self.index.all_texts() if ids is None else self.index.texts_of(ids)
+        if ids is None:
+            return self.corpus
+        files = self.index.files().where(one_of(F.col("file_id"), ids) | (F.col("flags") == SCAN_ALWAYS))
+        wanted = [r.path for r in files.where(self.options.accepts(F.col("path"))).select("path").limit(MOST_PATHS + 1).collect()]
+        return self.read(wanted) if len(wanted) <= MOST_PATHS else self.corpus
+
     def targets(self) -> DataFrame:
-        """The texts to scan: with an index its candidates, and what the planner's condition leaves of them."""
-        rows = self.corpus
-        if self.index is not None:
-            rows = rows.join(self.candidates(), "path", "left_semi")
+        """The texts to scan, and what the planner's condition leaves of them."""
         content = F.col("content")
-        return rows.where(L.may_match(content, self.query) & ~L.looks_binary(content))
+        return self._narrowed().where(self.options.accepts(F.col("path")) & L.may_match(content, self.query) & ~L.looks_binary(content))
 
     def _hits(self) -> DataFrame:
-        return L.matching_lines(L.to_lines(self.targets()), self.pattern, self.options.max_count)
+        return L.matching_lines(self.targets(), self.pattern, self.options.max_count)
 
     def lines(self) -> DataFrame:
         """path, line_number, line of the matching lines."""
@@ -77,7 +96,7 @@ class Search:
     def context(self) -> DataFrame:
         """Matching lines and their neighbours: path, line_number, line, is_match, group_id."""
         o = self.options
-        out = L.with_context(L.to_lines(self.targets()), self.pattern, o.before, o.after, o.max_count)
+        out = L.with_context(self.targets(), self.pattern, o.before, o.after, o.max_count)
         return out.select("path", "line_number", "line", "is_match", "group_id")
 
     def files(self) -> DataFrame:
@@ -85,10 +104,10 @@ class Search:
         return L.files_with_matches(self.targets(), self.pattern)
 
     def counts(self) -> DataFrame:
-        return L.match_counts(self._hits())
+        return L.match_counts(self.targets(), self.pattern, self.options.max_count)
 
     def totals(self) -> DataFrame:
-        return L.totals(self._hits())
+        return L.totals(self.counts())
 
     def json(self) -> DataFrame:
         return L.json_lines(self.spans())

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 from typing import TextIO
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trawl.functions.paths import BadFilter, scope_of
@@ -13,7 +17,8 @@ from trawl.operators.index import CorpusIndex, IndexFault
 from trawl.operators.search import Options, Search
 from trawl.render import files_reply, matches_reply
 from trawl.sources.corpus import from_tree
-from trawl.sources.store import index_folder
+from trawl.sources.store import index_folder, is_watched
+from trawl.streaming.watch import refresh_if_changed
 
 #: Versions of the protocol, the latest first.
 PROTOCOLS = ("2025-06-18", "2025-03-26", "2024-11-05")
@@ -33,6 +38,8 @@ TOOLS = [
 
 
 class Service:
+    """Searches of one tree. The index is brought up to date before each, unless a watcher does; without one all is scanned."""
+
     def __init__(self, spark: SparkSession, root: str, index: CorpusIndex | None = None):
         self.spark, self.root = spark, root
         self.index = index or CorpusIndex(spark, f"file://{index_folder(root)}")
@@ -40,6 +47,16 @@ class Service:
     def corpus(self) -> DataFrame:
         return from_tree(self.spark, self.root)
 
+    def fresh_index(self, corpus: DataFrame) -> CorpusIndex | None:
+        """The index as the tree is now, or None where it can't be brought there: a full scan finds the same."""
+        try:
+            if not is_watched(index_folder(self.root)):
+                refresh_if_changed(self.index, corpus)
+            self.index.validate()
+        except (IndexFault, OSError, PySparkException, Py4JJavaError):
+            return None
+        return self.index
+
     def tool(self, name: str, args: dict) -> str:
         pattern = args.get("pattern")
         if not isinstance(pattern, str) or not pattern:
@@ -48,11 +65,8 @@ class Service:
         around = max(0, int(args.get("context") or 0)) if name == "code_search" else 0
         given = lambda k: (args[k],) if args.get(k) else ()
         options = Options(bool(args.get("ignore_case")), bool(args.get("fixed")), (scope,) if scope else (), given("glob"), given("type"), before=around, after=around)
-        try:
-            index = self.index if self.index.exists() and self.index.meta else None
-        except IndexFault:
-            index = None  # a full scan finds the same
-        search = Search(self.corpus(), pattern, options, index)
+        corpus = self.corpus()
+        search = Search(corpus, pattern, options, self.fresh_index(corpus), partial(from_tree, self.spark, self.root))
         return files_reply(search) if name == "list_matching_files" else matches_reply(search, int(args.get("max_results") or 200))
 
     def handle(self, request: dict) -> dict:

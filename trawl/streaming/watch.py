@@ -6,39 +6,67 @@ A trigger's interval gathers a burst of changes into one refresh and can't be st
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trawl.operators.index import MAX_FILE_SIZE, CorpusIndex, changes, classified, extract
+from trawl.operators.index import MAX_FILE_SIZE, CorpusIndex, IndexFault, classified, extract
 from trawl.schemas import FILES, POSTINGS
 from trawl.sources.store import BEAT_S, beat
 
 
 def refresh_if_changed(index: CorpusIndex, corpus: DataFrame, max_file_size: int = MAX_FILE_SIZE) -> bool:
     """Whether anything was new, changed or gone; only then a new version is written."""
-    if index.exists() and changes(corpus, index.files(), max_file_size).where("action <> 'reuse'").isEmpty():
-        return False
-    index.refresh(corpus, max_file_size)
-    return True
+    try:
+        before = index.meta["version"]
+    except IndexFault:
+        before = None
+    return index.refresh(corpus, max_file_size)["version"] != before
+
+
+@contextmanager
+def beating(folder: str | None, every_s: float = BEAT_S) -> Iterator[None]:
+    """Beats for as long as the work inside takes, and once after it."""
+    if folder is None:
+        yield
+        return
+    done = threading.Event()
+
+    def go() -> None:
+        beat(folder)
+        while not done.wait(every_s):
+            beat(folder)
+
+    thread = threading.Thread(target=go, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        beat(folder)
 
 
 def watch(spark: SparkSession, index: CorpusIndex, listed: Callable[[], DataFrame], heartbeat: str | None = None, interval_s: float = BEAT_S, max_file_size: int = MAX_FILE_SIZE, retries: int = 3) -> StreamingQuery:
-    """Runs until it is stopped; listed() gives the corpus as it is now, heartbeat is a local folder for beat()."""
+    """Runs until it is stopped; listed() gives the corpus as it is now, heartbeat is a local folder for beat().
+
+    A refresh that fails is tried again after 1, 2, 4 ... seconds.
+    """
 
     def batch(_: DataFrame, __: int) -> None:
-        if heartbeat:
-            beat(heartbeat)
-        for left in range(retries, -1, -1):
-            try:
-                refresh_if_changed(index, listed(), max_file_size)
-                break
-            except Exception:
-                if not left:
-                    raise
-        if heartbeat:
-            beat(heartbeat)
+        with beating(heartbeat):
+            for k in range(retries + 1):
+                try:
+                    refresh_if_changed(index, listed(), max_file_size)
+                    break
+                except Exception:
+                    if k == retries:
+                        raise
+                    time.sleep(2**k)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(batch).trigger(processingTime=f"{interval_s} seconds").start()

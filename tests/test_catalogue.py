@@ -13,7 +13,7 @@ TOP = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{TOP}/{t}.parquet'")
     return con
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from functools import partial
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trawl.operators.index import CorpusIndex, changes, classified, extract, trigrams
 from trawl.operators.search import Options, Search
 from trawl.schemas import FILES
-from trawl.sources.corpus import from_table
+from trawl.sources.corpus import from_table, from_tree
 from trawl.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,7 +215,7 @@ def indexed_equals_scan(spark: SparkSession, d: str) -> DataFrame:
     """Lines that only one of indexed search and full scan finds, over several patterns."""
     corpus, out = documents(spark, d), None
     index = built(spark, corpus)
-    for p in ("License", "(?i)license", "th.t", "that|with", "^The", r"\bou\b", "[éè]re", "tion.*ing", "zzz_no_match_zzz"):
+    for p in ("License", "(?i)license", "th.t", "that|with", "^The", r"\bou\b", "[éè]re", "tion.*ing", "zzz_no_match_zzz", "abc|abcd|that", "[a-f][a-f]tion", r"\bthat\b.*$", "(?:The|An?) "):
         a, b = (Search(corpus, p, index=i).lines().select(F.lit(p).alias("pattern"), "path", "line_number") for i in (index, None))
         rows = a.exceptAll(b).union(b.exceptAll(a))
         out = rows if out is None else out.union(rows)
@@ -308,11 +311,113 @@ def multi_corpus_union(spark: SparkSession, d: str) -> DataFrame:
     return Search(documents(spark, d).unionByName(pages(spark, d)).unionByName(conversations(spark, d)), "tion").counts()
 
 
-@query("SELECT * FROM (VALUES ('abc', '\"abc\"'), ('ab', 'ALL'), ('abc.*def', '\"abc\" \"def\"'), ('abc|def', '(\"abc\"|\"def\")'), ('[ab]cde', '(\"acd\" \"cde\"|\"bcd\" \"cde\")'), ('(abcd)+', '\"abc\" \"bcd\"'), ('[a&&b]', 'NONE')) v(pattern, plan)")
+@query("SELECT * FROM (VALUES ('abc', '\"abc\"'), ('ab', 'ALL'), ('abc.*def', '\"abc\" \"def\"'), ('abc|def', '(\"abc\"|\"def\")'), ('[ab]cde', '(\"acd\" \"cde\"|\"bcd\" \"cde\")'), ('(abcd)+', '\"abc\" \"bcd\"'), ('[a&&b]', 'NONE'), ('abc|abcd', '\"abc\"'), ('(abcd|xabcdy)+', '\"abc\" \"bcd\"'), ('^abc$', '\"abc\"'), ('\\babcd\\b', '\"abc\" \"bcd\"'), ('[a-z]abcd', '\"abc\" \"bcd\"'), ('(abc)?def', '\"def\"')) v(pattern, plan)")
 def explain_plans(spark: SparkSession, d: str) -> DataFrame:
     from trawl.functions.pattern import compile_pattern
     from trawl.plans.trigrams import plan
 
-    patterns = ["abc", "ab", "abc.*def", "abc|def", "[ab]cde", "(abcd)+", "[a&&b]"]
+    patterns = ["abc", "ab", "abc.*def", "abc|def", "[ab]cde", "(abcd)+", "[a&&b]", "abc|abcd", "(abcd|xabcdy)+", "^abc$", r"\babcd\b", "[a-z]abcd", "(abc)?def"]
     return spark.createDataFrame([(p, str(plan(compile_pattern(p)))) for p in patterns], "pattern string, plan string")
 
+
+_EDITED = f"SELECT path, CASE WHEN regexp_matches(path, '/src1[0-9]*/') THEN translate(text, 'a', 'o') ELSE text END AS text FROM ({_DOCS})"
+
+
+@query(f"{_lines(_EDITED)} SELECT path, line_number, line FROM lines WHERE contains(line, 'thot')")
+def refresh_same_size(spark: SparkSession, d: str) -> DataFrame:
+    """Edits that leave the size alone are found after a refresh."""
+    docs = documents(spark, d)
+    index = built(spark, docs)
+    text = F.when(F.col("path").rlike("/src1[0-9]*/"), F.translate(F.col("content").cast("string"), "a", "o")).otherwise(F.col("content").cast("string"))
+    edited = from_table(docs.select("path", text.alias("text")), F.col("path"), "text")
+    index.refresh(edited)
+    return Search(edited, "thot", index=index).lines()
+
+
+#: A small tree: path -> content.
+_TREE = {
+    "app/run.py": "start = 1\nstop = 2\n", "app/util/deep.py": "def stop():\n    start\n", "build/out.txt": "start of what is ignored\n", "notes.md": "how to start\r\nand stop\n", "data.bin": "start\0",
+    ".ignore": "build/\n*.tmp\n!keep.tmp\n", "old.tmp": "start\n", "keep.tmp": "start again\n", ".hidden/x": "start\n",
+}
+_TREE_FILES = "(VALUES ('app/run.py', 1, 'start = 1'), ('app/util/deep.py', 2, '    start'), ('keep.tmp', 1, 'start again'), ('notes.md', 1, 'how to start' || chr(13))) v(path, line_number, line)"
+
+
+def _tree(spark: SparkSession) -> str:
+    """The tree, written where the driver can list it."""
+    top = scratch(spark)
+    top = top.removeprefix("file://").removeprefix("file:") if top.startswith(("file:", "/")) else tempfile.mkdtemp(prefix="trawl-")
+    for name, content in _TREE.items():
+        at = os.path.join(top, name)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "w", newline="") as f:
+            f.write(content)
+    return top
+
+
+@query("SELECT * FROM (VALUES ('app/run.py', CAST(19 AS BIGINT)), ('app/util/deep.py', 22), ('data.bin', 6), ('keep.tmp', 12), ('notes.md', 23)) v(path, size)")
+def tree_walk(spark: SparkSession, d: str) -> DataFrame:
+    return from_tree(spark, _tree(spark)).select("path", "size")
+
+
+@query(f"SELECT path, CAST(line_number AS BIGINT) AS line_number, line FROM {_TREE_FILES}")
+def tree_search(spark: SparkSession, d: str) -> DataFrame:
+    """Indexed search of a tree: only candidates are opened, binary and ignored files are no hits."""
+    top = _tree(spark)
+    corpus, index = from_tree(spark, top), CorpusIndex(spark, scratch(spark))
+    index.build(corpus)
+    return Search(corpus, "start", index=index, read=partial(from_tree, spark, top)).lines()
+
+
+@query(f"SELECT path, CAST(line_number AS BIGINT) AS line_number, line FROM {_TREE_FILES} WHERE path <> 'keep.tmp'")
+def vanished_file(spark: SparkSession, d: str) -> DataFrame:
+    """A file that is gone once its turn comes is left out."""
+    top = _tree(spark)
+    corpus, index = from_tree(spark, top), CorpusIndex(spark, scratch(spark))
+    index.build(corpus)
+    os.remove(os.path.join(top, "keep.tmp"))
+    return Search(corpus, "start", index=index, read=partial(from_tree, spark, top)).lines()
+
+
+@query("SELECT '' AS none, 'app/new.py:1:start = 9|app/run.py:1:start = 1||2 matches in 2 files' AS reply")
+def stale_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The service answers for the tree as it is, not as it was when the index was built."""
+    from trawl.rpc import Service
+
+    top = _tree(spark)
+    index = CorpusIndex(spark, scratch(spark))
+    index.build(from_tree(spark, top))
+    with open(os.path.join(top, "app/new.py"), "w") as f:
+        f.write("start = 9\n")
+    reply = Service(spark, top, index).tool("code_search", {"pattern": "^start = "})
+    return spark.createDataFrame([("", reply.replace("\n", "|"))], "none string, reply string")
+
+
+#: text, pattern, ignore case, whether it matches.
+_DIALECT = [
+    ("foo bar", r"\bbar\b", False, True), ("foobar", r"\bbar", False, False), ("abc", "(?P<x>b)", False, True), ("aa", "a++a", False, True), ("x1", r"^\w\d$", False, True), ("ABC", "abc", True, True), ("ABC", "abc", False, False),
+    ("5", "^[0-9--4]$", False, True), ("4", "^[0-9--4]$", False, False), ("c", "[a-c~~b]", False, True), ("b", "^[a-c~~b]$", False, False), ("ab", r"[\w&&[^a]]b", False, False), (":", "[[:alpha:]]", False, False), ("tab\there", r"\x{9}", False, True),
+    ("a b", "(?x) a [ ] b # note", False, True), ("aab", "^(?U)a+", False, True), ("a" * 1200, "^a{1100,}$", False, True), ("a" * 1000, "^a{1100,}$", False, False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(e).lower()})" for i, (*_, e) in enumerate(_DIALECT)) + ") v(i, matches)")
+def regex_dialect(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.functions.pattern import compile_pattern
+    from trawl.operators.lines import line_matches
+
+    tests = [F.struct(F.lit(i).alias("i"), line_matches(compile_pattern(p, c), F.lit(text)).alias("matches")) for i, (text, p, c, _) in enumerate(_DIALECT)]
+    return spark.range(1).select(F.explode(F.array(*tests)).alias("t")).select("t.i", "t.matches")
+
+
+@query("SELECT strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS matches FROM events WHERE regexp_matches(event_type, 'c.*k') GROUP BY 1")
+def stream_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern over a stream of events, counted by windows of event time."""
+    from trawl.functions.pattern import compile_pattern
+    from trawl.operators.lines import line_matches
+    from trawl.streaming.watch import scan_stream
+
+    schema, name = spark.read.parquet(f"{d}/events.parquet").schema, f"scan_{os.urandom(6).hex()}"
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("line"))
+    out = scan_stream(rows, lambda line: line_matches(compile_pattern("c.*k"), line)).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), "matches")
+    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

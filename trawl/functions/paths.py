@@ -11,14 +11,25 @@ class BadFilter(ValueError):
     """A glob, a type or a scope that means nothing."""
 
 
-#: Widespread file types and their globs; callers can pass their own.
-TYPES = {
-    "c": ["*.c", "*.h"], "cpp": ["*.cpp", "*.cc", "*.cxx", "*.hpp", "*.hh", "*.h"], "css": ["*.css", "*.scss"], "csv": ["*.csv"], "go": ["*.go"],
-    "html": ["*.html", "*.htm"], "java": ["*.java"], "js": ["*.js", "*.jsx", "*.mjs", "*.cjs"], "json": ["*.json"], "kotlin": ["*.kt", "*.kts"],
-    "log": ["*.log"], "make": ["Makefile", "makefile", "*.mk"], "md": ["*.md", "*.markdown", "*.mdown"], "php": ["*.php"], "py": ["*.py", "*.pyi"],
-    "ruby": ["*.rb", "Rakefile", "Gemfile"], "rust": ["*.rs"], "scala": ["*.scala", "*.sbt"], "sh": ["*.sh", "*.bash", "*.zsh"], "sql": ["*.sql"],
-    "swift": ["*.swift"], "toml": ["*.toml"], "ts": ["*.ts", "*.tsx"], "txt": ["*.txt"], "xml": ["*.xml"], "yaml": ["*.yaml", "*.yml"],
+#: Widespread file types, by endings; callers can pass their own globs.
+_ENDINGS = {
+    "ada": "adb ads", "asm": "asm s S", "asciidoc": "adoc asciidoc", "awk": "awk", "bat": "bat cmd", "bazel": "bazel bzl", "bib": "bib", "c": "c h", "clojure": "clj cljc cljs", "cmake": "cmake",
+    "coffee": "coffee", "config": "cfg conf config ini", "cpp": "cpp cc cxx hpp hh hxx h inl", "crystal": "cr", "cs": "cs", "css": "css scss sass", "csv": "csv", "cuda": "cu cuh", "cython": "pyx pxd pxi", "d": "d",
+    "dart": "dart", "diff": "diff patch", "elixir": "ex exs eex", "elm": "elm", "erlang": "erl hrl", "fortran": "f f77 f90 f95 F", "fsharp": "fs fsi fsx", "glsl": "glsl vert frag", "go": "go", "gradle": "gradle",
+    "graphql": "graphql gql", "groovy": "groovy", "haskell": "hs lhs", "html": "html htm xhtml", "idl": "idl", "java": "java jsp", "js": "js jsx mjs cjs vue", "json": "json jsonl", "julia": "jl", "jupyter": "ipynb",
+    "kotlin": "kt kts", "less": "less", "lisp": "el lisp lsp", "log": "log", "lua": "lua", "markdown": "md markdown mdown mdx", "matlab": "m", "md": "md markdown mdown mdx", "nim": "nim nims", "nix": "nix",
+    "objc": "m h", "ocaml": "ml mli", "org": "org", "pascal": "pas dpr inc", "pdf": "pdf", "perl": "pl pm t", "php": "php phtml", "po": "po", "prolog": "pl pro", "protobuf": "proto",
+    "ps": "ps1 psm1 psd1", "puppet": "pp epp", "py": "py pyi", "python": "py pyi", "r": "r R Rmd", "readme": "", "rst": "rst", "ruby": "rb gemspec", "rust": "rs", "scala": "scala sbt",
+    "scheme": "scm ss rkt", "sh": "sh bash zsh ksh", "sol": "sol", "sql": "sql psql", "svelte": "svelte", "svg": "svg", "swift": "swift", "tcl": "tcl", "tex": "tex sty cls bib", "tf": "tf tfvars",
+    "thrift": "thrift", "toml": "toml", "ts": "ts tsx mts cts", "txt": "txt", "vb": "vb", "verilog": "v vh sv svh", "vhdl": "vhd vhdl", "vim": "vim", "vue": "vue", "wgsl": "wgsl",
+    "xml": "xml xsd xsl xslt", "yaml": "yaml yml", "zig": "zig",
 }
+#: Whole names that belong to a type as well.
+_NAMES = {
+    "cmake": ["CMakeLists.txt"], "docker": ["*Dockerfile*"], "license": ["*LICENSE*", "*LICENCE*", "COPYING*"], "lock": ["*.lock", "package-lock.json"], "make": ["[Mm]akefile", "GNUmakefile", "*.mk"],
+    "python": [], "readme": ["README*"], "ruby": ["Rakefile", "Gemfile"], "sh": [".bashrc", ".profile", ".zshrc"],
+}
+TYPES = {t: [f"*.{e}" for e in _ENDINGS.get(t, "").split()] + _NAMES.get(t, []) for t in sorted({*_ENDINGS, *_NAMES})}
 
 
 def in_scopes(path: Column, scopes: list[str]) -> Column:

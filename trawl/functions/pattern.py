@@ -14,6 +14,10 @@ from functools import lru_cache
 import regex
 
 
+#: A quantifier's count at most.
+MOST_REPEATS = 100_000
+
+
 class BadPattern(ValueError):
     """The pattern is not in the dialect."""
 
@@ -225,7 +229,7 @@ class _Parser:
             self.at = m.end()
             least = int(m[1])
             most = least if not m[2] else int(m[3]) if m[3] else None
-            if most is not None and most < least or max(least, most or 0) > 1000:
+            if most is not None and most < least or max(least, most or 0) > MOST_REPEATS:
                 self.fail("bad repetition")
         else:
             return None

@@ -86,4 +86,4 @@ def stream_postings(arrivals: DataFrame, folder: str, checkpoint: str, max_file_
 
 def scan_stream(lines: DataFrame, test, watermark: str = "10 minutes", window: str = "1 minute") -> DataFrame:
     """lines: ts, line. Matching lines per window of event time, late ones up to the watermark included."""
-    return lines.withWatermark("ts", watermark).where(test(F.col("line"))).groupBy(F.window("ts", window)).agg(F.count("*").alias("matches")).select("window.start", "window.end", "matches")
+    return lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).where(test(F.col("line"))).groupBy(F.window("ts", window)).agg(F.count("*").alias("matches")).select("window.start", "window.end", "matches")

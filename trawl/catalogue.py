@@ -417,7 +417,7 @@ def stream_scan(spark: SparkSession, d: str) -> DataFrame:
     from trawl.streaming.watch import scan_stream
 
     schema, name = spark.read.parquet(f"{d}/events.parquet").schema, f"scan_{os.urandom(6).hex()}"
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("line"))
+    rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select("ts", F.col("event_type").alias("line"))
     out = scan_stream(rows, lambda line: line_matches(compile_pattern("c.*k"), line)).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), "matches")
     out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)

@@ -101,6 +101,18 @@ def test_very_long_text_is_whole_in_parts(monkeypatch):
     assert seen == list(range(4801))
 
 
+@pytest.mark.parametrize("alphabet", [1, 2, 26])
+def test_pointers_are_ranks_of_bytes(alphabet):
+    """Strings over one, two and many letters, with planted repeats, against a count of all of them."""
+    r = np.random.default_rng(alphabet)
+    parts = [r.integers(97, 97 + alphabet, n, np.uint8) for n in (900, 260, 201, 600)]
+    data = np.concatenate([parts[0], parts[1], parts[0][100:450], parts[2], parts[3][:199], parts[1][30:], parts[3]])
+    starts = np.flatnonzero(np.arange(len(data) - 199) % 7 != 3)
+    seen = Counter(data[i : i + 200].tobytes() for i in starts.tolist())
+    assert suffix_dedup.repeated(data, starts).tolist() == [seen[data[i : i + 200].tobytes()] > 1 for i in starts.tolist()]
+    assert suffix_dedup.repeated(data[:200], np.array([0])).tolist() == [False]
+
+
 def weighted(text):
     w = re.split(r"[ \t\n\v\f\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     w = [x for x in w if x]

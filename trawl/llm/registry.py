@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op3_license_scan": licenses.oracle_sql(), "op5_preference_format": chat_format.oracle_sql()}
+ORACLES = {"op3_license_scan": licenses.oracle_sql(), "op5_preference_format": chat_format.oracle_sql(), "op6_suffix_dedup": suffix_dedup.oracle_sql()}

@@ -1,28 +1,28 @@
 """Exact substring deduplication by bucket-pointer refinement.
 
 A string of LENGTH bytes repeats if it starts anywhere else, in any text. A suffix array of all
-bytes would not fit, so the suffixes are sampled: every string of LENGTH bytes has one anchor, the
-q-gram in it of lowest hash (the leftmost of equals), which depends on the string alone, so equal
-strings meet at equal anchors.
-
-1. Initial buckets. Anchors are bucketed by their q-gram; a bucket with one anchor is done.
-2. Refinement by later offsets. The identifier of 2n bytes is made from the identifiers of its
-   halves, the second of which stands n bytes later: Q, 2Q, 4Q = LENGTH, each level reusing the
-   one before. An anchor's whole reach (all strings that it is the anchor of) is compared first:
-   reaches with an equal identifier repeat as a whole.
-3. Buckets whose reaches differ are refined to single strings, each with its identifier of LENGTH
-   bytes. Only one anchor of each distinct reach takes part, with the bytes of its reach.
+bytes would not fit, so only suffixes that can matter are brought together:
+
+1. Initial buckets. Every string of LENGTH bytes has one anchor, the q-gram in it of lowest hash
+   (the leftmost of equals), which depends on the string alone, so equal strings meet at equal
+   anchors. Anchors are bucketed by their q-gram; a bucket with one anchor is done. The strings of
+   an anchor are its reach; of equal reaches (by a 128-bit digest) one goes on, all are repeats.
+2. Refinement. A task takes whole buckets with the bytes of their reaches. A position's bucket
+   pointer is the rank of its first SEED bytes among all; then, round by round, buckets are sorted
+   by the pointers of the later offsets (SEED, 2 SEED, ... bytes on), and the new pointers are what
+   the next round sorts by, until they stand for LENGTH bytes. A string that holds a position alone
+   in its bucket can't repeat: such strings leave, and what only they needed is sorted no more.
+   Pointers are ranks of the bytes themselves, so equal ones mean equal bytes, not equal hashes.
 
 Buckets are counted with partial sums before the shuffle, so a passage in a third of all texts
-costs each task one row. Those of step 3 go to tasks by q-gram, sorted, a few at a time; the
-strings of a q-gram with over HOT_REACHES distinct reaches are dealt out one by one instead. Results
-go back to their text by key; only texts that hold a repeat are shuffled. Which q-grams, anchors
-and texts to look at again is told by bitmaps of fixed size, where a false hit costs only time.
+costs each task one row. The strings of a q-gram with over HOT_REACHES distinct reaches, which a
+bitmap of fixed size tells, are dealt out one by one by 128-bit digests instead. Results go back
+to their text by key; only texts that hold a repeat are shuffled. Which q-grams, anchors and texts
+to look at again is told by bitmaps as well, where a false hit costs only time.
 
 Results are per row and depend on its text alone. Null texts are empty; texts under LENGTH bytes
 lose nothing; repeated rows count as other places and lose everything; null or equal doc_ids are
 kept apart by their texts; extra columns change nothing; an empty table gives an empty result.
-Identifiers have 64 bits, and only those of one q-gram meet.
 """
 
 from __future__ import annotations
@@ -36,22 +36,62 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trawl.llm.shared import Bitmap, bitmap, chunks, extended, materialize, mix, pick, prefix_hash, span_hash, table
 
-LENGTH, Q = 200, 50
+LENGTH, Q, SEED = 200, 50, 8
 #: A very long text is worked through in parts of so many bytes that overlap by LENGTH.
 PART_BYTES = 1 << 20
-HOT_REACHES, FLUSH_BYTES = 20_000, 1 << 20
+HOT_REACHES, FLUSH_BYTES, SALTS = 4000, 1 << 20, 8
 _POSITION = np.uint64((1 << 20) - 1)
 
 
-def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums, and at each offset the bucket identifiers of the Q and of the LENGTH bytes there."""
+def grams_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums, and at each offset the hash of the Q bytes there."""
     prefix, at = prefix_hash(data), np.arange(len(data) - Q + 1)
-    first = level = span_hash(prefix, at, at + Q)
-    size = Q
-    while size < LENGTH:
-        level = mix(level[: len(level) - size] * np.uint64(0x9E3779B97F4A7C15) + level[size:])
-        size *= 2
-    return prefix, first, level
+    return prefix, span_hash(prefix, at, at + Q)
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many keys are smaller than each, and whether it is the only one of its kind."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    size = np.diff(np.concatenate([first, [len(keys)]]))
+    rank, alone = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+    rank[order], alone[order] = np.repeat(first, size), np.repeat(size == 1, size)
+    return rank, alone
+
+
+def repeated(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the string of LENGTH bytes at each of the ascending starts is also at another of them."""
+    pointer = np.zeros(len(data), np.int64)
+    n, alive, depth = len(data), starts, SEED
+    seeds = np.zeros(max(0, n - SEED + 1), np.uint64)
+    for k in range(SEED):
+        seeds = (seeds << np.uint64(8)) | data[k : k + len(seeds)]
+    at = np.arange(len(seeds))
+    pointer[at], alone = _ranked(seeds)
+    while True:
+        # what holds a position alone in its bucket leaves
+        single = np.zeros(n + 1, np.int64)
+        single[at[alone] + 1] = 1
+        before = np.cumsum(single)
+        alive = alive[before[alive + LENGTH - depth + 1] == before[alive]]
+        if depth == LENGTH or not len(alive):
+            break
+        step = min(depth, LENGTH - depth)
+        # positions whose pointers the strings left need at the next depth
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, alive, 1)
+        np.add.at(change, alive + LENGTH - depth - step + 1, -1)
+        at = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+        old = pointer[at]
+        finer, alone = _ranked(old * (n + 1) + pointer[at + step])
+        # a bucket keeps its place; its parts follow one another from there
+        base, _ = _ranked(old)
+        pointer[at] = old + finer - base
+        depth += step
+    out = np.zeros(n + 1, bool)
+    out[alive] = True
+    return out[starts]
 
 
 def anchors(first: np.ndarray, strings: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +121,7 @@ def _place(k1: np.ndarray, k2: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _found(batches: Iterator[pa.RecordBatch], grams: Bitmap | None, places: Bitmap | None) -> Iterator[tuple]:
-    """k1, k2, copies, bytes, offset; anchors, their reaches, q-grams and prefix sums; equal texts of a chunk come once."""
+    """k1, k2, copies, bytes, offset; anchors, their reaches and q-grams; equal texts of a chunk come once."""
     for b in chunks(batches):
         seen: dict[tuple[int, int], int] = {}
         keys = list(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True))
@@ -91,14 +131,14 @@ def _found(batches: Iterator[pa.RecordBatch], grams: Bitmap | None, places: Bitm
             if not (copies := seen.pop(key, 0)):
                 continue
             for offset, data in _parts(text):
-                prefix, first, ids = identifiers(data)
-                at, low, high = anchors(first, len(ids), LENGTH - Q + 1)
+                prefix, first = grams_of(data)
+                at, low, high = anchors(first, len(data) - LENGTH + 1, LENGTH - Q + 1)
                 gram = first[at]
                 ok = np.ones(len(at), bool) if grams is None else grams.has(gram)
                 if places is not None:
                     ok &= places.has(_place(*np.array(key, np.int64)[:, None], low + offset))
                 if ok.any():
-                    yield key, copies, data, offset, at[ok], low[ok], high[ok], gram[ok], prefix
+                    yield key, copies, data, offset, at[ok], low[ok], high[ok], gram[ok]
 
 
 def _flushed(rows: Iterator[list], schema: pa.Schema, most: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -119,24 +159,31 @@ def _grams(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _flushed(([gram.view(np.int64), np.full(len(gram), copies)] for _, copies, _, _, _, _, _, gram, _ in _found(batches, None, None)), schema)
+        yield from _flushed(([gram.view(np.int64), np.full(len(gram), copies)] for _, copies, _, _, _, _, _, gram in _found(batches, None, None)), schema)
 
     return rows.mapInArrow(run, "gram long, n long")
 
 
+def _digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests, as two columns."""
+    both = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in pieces), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _reaches(rows: DataFrame, grams: Bitmap) -> DataFrame:
-    """Of each anchor whose q-gram may repeat: its strings [low, low + n) and the identifier of its reach."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("low", pa.int32()), ("n", pa.int32()), ("gram", pa.int64()), ("reach", pa.int64()), ("copies", pa.int64())])
+    """Of each anchor whose q-gram may repeat: its strings [low, low + n) and the digest of its reach."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("low", pa.int32()), ("n", pa.int32()), ("gram", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("copies", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns() -> Iterator[list]:
-            for (k1, k2), copies, _, offset, at, low, high, gram, prefix in _found(batches, grams, None):
-                reach = mix(span_hash(prefix, low, high + LENGTH) + (at - low).astype(np.uint64))
-                yield [np.full(len(at), k1), np.full(len(at), k2), low + offset, high - low + 1, gram.view(np.int64), reach.view(np.int64), np.full(len(at), copies)]
+            for (k1, k2), copies, data, offset, _, low, high, gram in _found(batches, grams, None):
+                # equal reaches have equal anchors, so the bytes tell all
+                r1, r2 = _digests([data[i : j + LENGTH].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)])
+                yield [np.full(len(low), k1), np.full(len(low), k2), low + offset, high - low + 1, gram.view(np.int64), r1, r2, np.full(len(low), copies)]
 
         yield from _flushed(columns(), schema)
 
-    return rows.mapInArrow(run, "k1 long, k2 long, low int, n int, gram long, reach long, copies long")
+    return rows.mapInArrow(run, "k1 long, k2 long, low int, n int, gram long, r1 long, r2 long, copies long")
 
 
 def _bytes_of(rows: DataFrame, grams: Bitmap, places: Bitmap) -> DataFrame:
@@ -146,7 +193,7 @@ def _bytes_of(rows: DataFrame, grams: Bitmap, places: Bitmap) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns() -> Iterator[list]:
             told: set[tuple[int, int]] = set()  # a text takes part once in a task; its copies are settled already
-            for key, _, data, offset, at, low, high, gram, _ in _found(batches, grams, places):
+            for key, _, data, offset, at, low, high, gram in _found(batches, grams, places):
                 if (*key, offset) in told:
                     continue
                 if len(told) < 1 << 20:
@@ -160,15 +207,13 @@ def _bytes_of(rows: DataFrame, grams: Bitmap, places: Bitmap) -> DataFrame:
     return rows.mapInArrow(run, "gram long, k1 long, k2 long, low int, bytes binary")
 
 
-def _string_ids(bytes_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all strings of these reaches: identifier, reach, offset in it."""
+def _strings(bytes_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of these reaches on end; of all their strings start, reach and offset in it."""
     size = np.array([len(x) for x in bytes_])
-    ids = identifiers(np.frombuffer(b"".join(bytes_), np.uint8))[2]
-    n = size - LENGTH + 1
-    start = np.cumsum(size) - size
+    n, start = size - LENGTH + 1, np.cumsum(size) - size
     reach = np.repeat(np.arange(len(size)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return ids[start[reach] + at], reach, at
+    return np.frombuffer(b"".join(bytes_), np.uint8), start[reach] + at, reach, at
 
 
 _RUNS = "k1 long, k2 long, low int, n int"
@@ -187,11 +232,8 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        ids, reach, at = _string_ids(t.column("bytes").to_pylist())
-        order = np.argsort(ids, kind="stable")
-        same = ids[order][1:] == ids[order][:-1]
-        twice = np.zeros(len(ids), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        data, start, reach, at = _strings(t.column("bytes").to_pylist())
+        twice = repeated(data, start)
         return _runs(*(t.column(c).to_numpy() for c in ("k1", "k2", "low")), reach[twice], at[twice])
 
     held: list[pa.RecordBatch] = []
@@ -214,19 +256,24 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt_out(hot: DataFrame) -> DataFrame:
-    """The same for q-grams with very many reaches: each string is a row of its own."""
+    """The same for q-grams with very many reaches: each string is a row of its own, by its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                ids, reach, at = _string_ids(part.column("bytes").to_pylist())
+                data, start, reach, at = _strings(part.column("bytes").to_pylist())
+                raw = data.tobytes()
+                d1, d2 = _digests([raw[x : x + LENGTH] for x in start.tolist()])
                 k1, k2, low = (part.column(c).to_numpy() for c in ("k1", "k2", "low"))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(k1[reach]), pa.array(k2[reach]), pa.array((low[reach] + at).astype(np.int32))], names=["id", "k1", "k2", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(k1[reach]), pa.array(k2[reach]), pa.array((low[reach] + at).astype(np.int32))], names=["d1", "d2", "k1", "k2", "low"])
 
-    strings = materialize(hot.mapInArrow(run, "id long, k1 long, k2 long, low int"))
-    twice = strings.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    return strings.join(twice, "id", "left_semi").select("k1", "k2", "low", F.lit(1).alias("n"))
+    strings = materialize(hot.mapInArrow(run, "d1 long, d2 long, k1 long, k2 long, low int"))
+    twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2")
+    # a string that very many share is dealt over SALTS tasks
+    salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = strings.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "low"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["d1", "d2", "salt"], "left_semi").select("k1", "k2", "low", F.lit(1).alias("n"))
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
@@ -234,22 +281,32 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     grams = _grams(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     twice = bitmap(grams)
     reaches = materialize(_reaches(rows, twice))
-    variants = materialize(
-        reaches.groupBy("gram", "reach").agg(F.sum("copies").alias("c"), F.min(F.struct("k1", "k2", "low")).alias("at"))
-    )
-    settled = reaches.join(variants.where("c > 1").select("gram", "reach"), ["gram", "reach"], "left_semi").select("k1", "k2", "low", "n")
+    of = ["gram", "r1", "r2"]
+    variants = materialize(reaches.groupBy(*of).agg(F.sum("copies").alias("c"), F.min(F.struct("k1", "k2", "low")).alias("at")))
+    again = variants.where("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(*of, "salt")
+    dealt = reaches.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "low"), F.lit(SALTS)).cast("int"))
+    settled = dealt.join(again, [*of, "salt"], "left_semi").select("k1", "k2", "low", "n")
+    # one row a q-gram, so no q-gram is hot; both sets are told by bitmaps from here on
     several = materialize(variants.groupBy("gram").agg(F.count("*").alias("v")).where("v > 1"))
-    open_ = variants.join(several.select("gram"), "gram", "left_semi").select("at.*")
+    open_, hot = bitmap(several.select("gram")), bitmap(several.where(F.col("v") > HOT_REACHES).select("gram"))
+
+    def told(bits: Bitmap, yes: bool = True):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(bits.has(b.column("gram").to_numpy()) == yes))
 
-    bytes_ = _bytes_of(rows, twice, bitmap(open_, key=_place))
-    hot = several.where(F.col("v") > HOT_REACHES).select("gram")
+        return run
+
+    shown = variants.select("gram", "at.*")
+    places = bitmap(shown.mapInArrow(told(open_), shown.schema).select("k1", "k2", "low"), key=_place)
+    bytes_ = _bytes_of(rows, open_, places)
     runs = [settled]
-    if hot.isEmpty():
+    if not hot.words.any():
         runs.append(bytes_.repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined, _RUNS))
     else:
         bytes_ = materialize(bytes_)
-        runs.append(bytes_.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined, _RUNS))
-        runs.append(_dealt_out(bytes_.join(hot, "gram", "left_semi")))
+        runs.append(bytes_.mapInArrow(told(hot, False), bytes_.schema).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refined, _RUNS))
+        runs.append(_dealt_out(bytes_.mapInArrow(told(hot), bytes_.schema)))
     every = runs[0]
     for r in runs[1:]:
         every = every.unionByName(r)
@@ -296,3 +353,21 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def oracle_sql() -> str:
+    """The same by counting every string of LENGTH bytes."""
+    n = LENGTH
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT *, octet_length(b) AS n FROM d),
+strings AS (SELECT r, i, md5_number(b[i:i + {n - 1}]) AS h FROM (SELECT r, b, unnest(range(1, n - {n - 2})) AS i FROM sized WHERE n >= {n})),
+twice AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {n}, true) AS new FROM strings WHERE h IN (SELECT h FROM twice)),
+spans AS (SELECT r, k, min(i) AS low, max(i) + {n} AS high FROM (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM hits) GROUP BY ALL),
+gaps AS (SELECT r, low, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 1) AS a, low - 1 AS z FROM spans
+  UNION ALL SELECT s.r, 1 + max(high), max(high), any_value(n) FROM spans s JOIN sized USING (r) GROUP BY s.r),
+kept AS (SELECT g.r, unhex(string_agg(CASE WHEN a <= z THEN hex(b[a:z]) ELSE '' END, '' ORDER BY low)) AS b FROM gaps g JOIN sized USING (r) GROUP BY g.r),
+counts AS (SELECT r, sum(high - low) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(kept.b, sized.b)) AS kept_sha256
+FROM sized LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)"""

@@ -49,14 +49,19 @@ def grams_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix, span_hash(prefix, at, at + Q)
 
 
-def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many keys are smaller than each, and whether it is the only one of its kind."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
+def _ranked(keys: np.ndarray, buckets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many keys (of the same bucket, which the keys order first) are smaller than each, and whether it is the only one of its kind."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     size = np.diff(np.concatenate([first, [len(keys)]]))
+    place = first
+    if buckets is not None:
+        head = buckets[order[first]]
+        new = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+        place = first - np.repeat(first[new], np.diff(np.concatenate([new, [len(first)]])))
     rank, alone = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-    rank[order], alone[order] = np.repeat(first, size), np.repeat(size == 1, size)
+    rank[order], alone[order] = np.repeat(place, size), np.repeat(size == 1, size)
     return rank, alone
 
 
@@ -84,10 +89,8 @@ def repeated(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         np.add.at(change, alive + LENGTH - depth - step + 1, -1)
         at = np.flatnonzero(np.cumsum(change)[:-1] > 0)
         old = pointer[at]
-        finer, alone = _ranked(old * (n + 1) + pointer[at + step])
-        # a bucket keeps its place; its parts follow one another from there
-        base, _ = _ranked(old)
-        pointer[at] = old + finer - base
+        finer, alone = _ranked(old * (n + 1) + pointer[at + step], old)
+        pointer[at] = old + finer  # a bucket keeps its place; its parts follow one another from there
         depth += step
     out = np.zeros(n + 1, bool)
     out[alive] = True

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -325,18 +326,38 @@ def test_tiles_are_the_greedy_ones():
         assert all(item[i : i + n] == doc[j : j + n] for i, j, n in got)
 
 
-def test_contamination(spark, docs, none, texts):
+def test_tiling_time_does_not_grow_with_repeats():
+    """1,000 equal words against 50,000: the one tile is all, at once; so too with two words in random order."""
+    began = time.perf_counter()
+    assert decontaminate.Items([(1, "w " * 1000)], 5).matches("w " * 50_000, 0.5) == [(1, 1.0)]
+    r = np.random.default_rng(0)
+    item, doc = (r.integers(1, 3, n).astype(np.uint64) for n in (1000, 50_000))
+    assert sum(t[2] for t in decontaminate.tiles(item, doc, 5)) > 900
+    assert time.perf_counter() - began < 4
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 300])
+def test_contamination(spark, docs, none, texts, block_bytes):
+    """By broadcast and by seed join, against the stated tiling."""
     passage = prose(500, 40)
     halves = " ".join(passage.split()[20:] + ["between"] + passage.split()[:20])
-    bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (None, "tiny item"), (4, texts[0])], "item_id long, text string")
-    more = spark.createDataFrame([(900, "x y z " + passage + " end"), (901, halves), (902, prose(7, 90)), (903, "A Tiny, Item!"), (904, " ".join(passage.split()[:15]))], "doc_id long, text string")
-    out = {r.doc_id: r for r in decontaminate.contamination(more, bench, block_bytes=300).collect()}
-    assert [out[i].contaminated for i in range(900, 905)] == [True, True, False, True, False]
-    assert out[900].best_coverage == 1.0 and out[901].item_ids == [1] and out[903].item_ids == [None]
-    mine = [r for r in decontaminate.contamination(docs, bench).collect() if r.doc_id == 0]
-    assert len(mine) == 2 and all(r.item_ids == [4] for r in mine)
-    assert not decontaminate.contamination(none, bench).collect()
-    assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.where("false")).collect())
+    bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (None, "tiny item"), (4, texts[0]), (5, passage), (5, passage), (6, "word " * 60)], "item_id long, text string")
+    more = spark.createDataFrame([(900, "x y z " + passage + " end"), (901, halves), (902, prose(7, 90)), (903, "A Tiny, Item!"), (904, " ".join(passage.split()[:15])), (905, None), (905, "A Tiny, Item!")], "doc_id long, text string")
+    every = decontaminate.contamination(more, bench, block_bytes=block_bytes).collect()
+    out = {r.doc_id: r for r in every if r.doc_id != 905}
+    assert [out[i].contaminated for i in range(900, 905)] == [True, True, False, True, False] and sorted(r.contaminated for r in every if r.doc_id == 905) == [False, True]
+    assert out[900].best_coverage == 1.0 and out[900].best_item == 1 and out[901].item_ids == [1, 5, 5] and out[903].item_ids == [None]
+    rows = decontaminate.contamination(docs, bench, block_bytes=block_bytes).collect()
+    mine = [r for r in rows if r.doc_id == 0]
+    assert len(rows) == docs.count() and len(mine) == 2 and all(r.item_ids == [4] for r in mine)
+    number = {}
+    ids = lambda t: [number.setdefault(w, len(number) + 1) for w in decontaminate.words(t)]
+    asked = [(k, ids(t)) for k, t in ((1, passage), (4, texts[0]), (6, "word " * 60))]
+    for text, got in by_text(docs, decontaminate.contamination(docs, bench, block_bytes=block_bytes), "item_ids"):
+        if len(text or "") < 20_000:
+            assert [k for k in got if k in (1, 4, 6)] == [k for k, item in asked if greedy_cover(item, ids(text), 5) >= 0.5 * len(item)]
+    assert not decontaminate.contamination(none, bench, block_bytes=block_bytes).collect()
+    assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.where("false"), block_bytes=block_bytes).collect())
 
 
 def test_quality_statistics(docs, none):

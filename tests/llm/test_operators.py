@@ -285,6 +285,61 @@ def test_long_names_and_every_reference(text, n):
     assert not any(x in secrets.redact(text) for x in literals)
 
 
+KEY = "q8Zr1LmP0xTq9vW"
+
+
+@pytest.mark.parametrize("text", [
+    f'config["password"] = "{KEY}"', f"self.x = '{KEY}'; auth_key = self.x", f'auth_key: str = "{KEY}"', f'auth_key: Optional[str] = "{KEY}"', f'auth_key = ("{KEY}")', f'auth_key = (\n    "{KEY}"\n)', f'auth_key = """{KEY}"""',
+    f"auth_key = `{KEY}`", f'auth_key = get("{KEY}")', f'auth_key = env.get("AUTH_KEY", "{KEY}")', f'x = "{KEY}"  # note = other\nauth_key = x', f'note = "the secret = no"; auth_key = "{KEY}"', f"os.environ['AUTH_KEY'] = '{KEY}'",
+    f'var authKey string = "{KEY}"', f'char auth_key[] = "{KEY}";', f"$cfg{{auth_key}} = '{KEY}';", f"'auth_key' => '{KEY}',", f"auth_key := `{KEY}`", f'let authKey: String = "{KEY}"', f"auth_key: {KEY}", f"export AUTH_KEY={KEY}", f'connect(host="h", auth_key="{KEY}")',
+    f"<auth_key>{KEY}</auth_key>", f'auth_keys = ["{KEY}", "short"]', f'cfg["a"] = "{KEY}"\nauth_key = cfg["a"]', f'auth_key = r"{KEY}"', f'/* a = 1 */ auth_key = "{KEY}" // why', f'k = "{KEY}"\ndef f():\n    auth_key = k', f'it\'s auth_key = "{KEY}"',
+    f'auth_key = "it\\"s1" + "{KEY}"', f'auth_key = "part1"\nauth_key += "{KEY}"', f'auth_key = "a1" "{KEY}"', f"$x = '{KEY}'; $auth_key = 'a1' . $x;",
+])
+def test_forms_of_assignment(text):
+    assert KEY in [text[i:j] for _, i, j, *_ in secrets.lexed_spans(text)]
+    assert KEY not in secrets.redact(text)
+
+
+@pytest.mark.parametrize("text", [
+    f"note = \"the auth_key = '{KEY}'\"", f"# auth_key = '{KEY}'", f'/* auth_key = "{KEY}" */', f'x = 1 // auth_key = "{KEY}"', f'"""\nauth_key = {KEY}\n"""', f'if auth_key == "{KEY}":', f'auth_key != "{KEY}"', f'title = get("{KEY}")', "auth_key = user_input", 'auth_key = getenv("AUTH_KEY_NAME")',
+])
+def test_what_is_no_assignment(text):
+    assert secrets.lexed_spans(text) == []
+
+
+def test_propagation_against_brute_force():
+    """Random programs of sums and copies: the literals told are those that a plain evaluation says reach the sensitive names."""
+    r = random.Random(8)
+    for _ in range(300):
+        held, due, lines = {}, set(), []
+        for k in range(r.randrange(2, 14)):
+            name = r.choice(["a", "b.c", "d_e", "client_secret", "other"])
+            terms, parts = [], []
+            for _ in range(r.randrange(1, 4)):
+                if held and r.random() < 0.6:
+                    ref = r.choice(sorted(held))
+                    terms.append(ref)
+                    parts += held[ref]
+                else:
+                    literal = f"Zq{k}x{len(parts)}Lm{r.randrange(10**6):06}vW"
+                    terms.append(f'"{literal}"')
+                    parts.append(literal)
+            lines.append(f"{name} = " + " + ".join(terms))
+            held[name] = parts
+            if name == "client_secret":
+                due.update(parts)
+        text = "\n".join(lines)
+        assert {text[i:j] for _, i, j, *_ in secrets.lexed_spans(text)} == due, text
+
+
+def test_lexing_is_linear():
+    """Openings that nothing closes, escaped quotes, long names, many operators."""
+    began = time.perf_counter()
+    for text in ("/* " * 50_000, '"\\"' * 50_000, '\\"' * 50_001, '"""b' + "x = " * 50_000, "<!-- " * 50_000, "a = (" * 50_000, "` ``` " * 30_001, "secret" * 50_000 + " = 1", "x[" * 50_000 + "= 1", "'" * 100_001, "a = a + a + 'x'\n" * 20_000):
+        secrets.lexed_spans(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_constants_carry_without_limit():
     text = 'a = "q8Zr1LmP"\n' + 'a = a + "0xTq9vWk"\n' * 200 + "secret_value = a\n"
     assert sum(s[0] == "lex" for s in secrets.all_spans(text)) == 201

@@ -1,9 +1,19 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed forms (assign, access, hex) are matched over the whole text. Beyond them a lexer reads
-source and configuration syntax (`name = "literal"`, `name: literal`, `"name": "literal"`, `:=`,
-`=>`, `a + b`) into name-literal pairs, carries constants from one assignment to the next, and
-scores each literal by how sensitive the name is that it reaches; those give spans of kind `lex`.
+Three fixed forms (assign, access, hex) are matched over the whole text. Beyond them a lexer goes
+through source and configuration syntax once: strings (quoted, triple-quoted, back-quoted, with
+prefixes and escapes), comments, and the operators that stand outside of both. Each operator gives
+a name and its literals:
+
+* names: `name`, `a.b-c`, `"name"`, `a["name"]`, `$a{name}`, `name[]`, `name: type`, `name type`, `<name>`;
+* operators: `=`, `:`, `:=`, `=>`, `+=`; comparisons are none;
+* values: strings and bare words with a digit, in brackets, lists and calls, joined by `+`, `.`, `..`,
+  `&` or standing next to one another; names of constants, dotted or by subscript, stand for their
+  literals.
+
+Constants are carried from one assignment to the next, in the order of the text and whatever block
+they stand in; the last assignment of a name holds. Each literal is scored by how sensitive the name
+is that it reaches; those give spans of kind `lex`.
 
 Nulls and empty texts have no spans. Rows are independent: repeated rows, null doc_ids and extra
 columns change nothing, and an empty table gives an empty result. Equal starts are ordered by kind
@@ -38,11 +48,20 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+*/-])=(?![=>])|(?<![:=]):(?![:=/])")
-_NAME_START = re.compile(r"[A-Za-z_]")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
-_OPERAND = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_]*)(?=[ \t]*(?:[+;,)\n]|$))|([A-Za-z0-9+/_.=@!%^~-]+))""")
-_PLUS = re.compile(r"[ \t]*\+")
+_NAME_START = re.compile(r"[A-Za-z_]")
+#: What a lexer must look at: openings of strings and comments, and operators.
+_EVENT = re.compile(r"""["'`#]|/[/*]|<!--|=>|:=|\+=|[=!<>]=+|=~|=|:+""")
+_CLOSED = {q: re.compile(rf"(?:[^{q}\\\n]|\\[^\n])*{q}") for q in "\"'`"}
+_ANNOTATED = re.compile(r"[ \t]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\]\n=]*\])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*)*[?!]?[ \t]+(?==(?![=>~]))")
+_TYPE_WORDS = frozenset("string String str char bytes text varchar".split())
+_BLANKS, _SPACES = re.compile(r"[ \t]*"), re.compile(r"\s*")
+_NAME = re.compile(r"[$@]?[A-Za-z_][A-Za-z0-9_.-]*")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=@!%^~-]+")
+_JOIN = re.compile(r"[ \t]*(?:\+(?!=)|\.\.|[.&](?=[ \t]*[\"'`$]))")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)>[ \t]*([^<>\s]+)[ \t]*</")
+_NO_DIGIT = re.compile(r"[^0-9]*\Z")
+_PREFIXES = frozenset("rRbBfFuU")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[str, int, int, int, int]
@@ -97,70 +116,199 @@ class Value:
                 todo += v.carried
 
 
-def name_before(text: str, end: int) -> str | None:
-    """The name, quoted or not, that ends before end, blanks aside. No operator is passed, so all calls are linear together."""
-    while end and text[end - 1] in " \t":
-        end -= 1
-    quote = text[end - 1] if end and text[end - 1] in "\"'" else ""
-    end -= len(quote)
-    start = end
-    while start and text[start - 1] in _NAME_CHARS:
-        start -= 1
-    if quote:
-        return text[start:end] if start and text[start - 1] == quote and _NAME_START.match(text, start, end) else None
-    first = _NAME_START.search(text, start, end)
-    return text[first.start() : end] if first else None
-
-
-def bare_operands(text: str, start: int, end: int, constants: dict[str, Value]) -> Iterator[tuple[int, int]]:
-    """The span of a bare literal, or those of its terms if one of them, up to //, is the name of a constant."""
-    upto = text.find("//", start, end)
-    upto = end if upto < 0 else upto
-    terms, at = [], start
-    for term in text[start:upto].split("+"):
-        if term:
-            terms.append((at, at + len(term)))
-        at += len(term) + 1
-    if text[end : end + 1] not in ("(", "[") and any(text[i:j] in constants for i, j in terms):
-        yield from terms
-    else:
-        yield start, end
+class Lexed:
+    """Strings, comments and operators of a text, in one pass."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.strings: dict[int, tuple[int, int, int]] = {}  # opening quote -> inner start, inner end, end
+        self.ending: dict[int, int] = {}  # end of a string -> its opening quote
+        self.operators: list[tuple[int, int, str]] = []
+        unclosed, at = {}, 0  # per kind of opening: up to where it is known to stay open
+        while m := _EVENT.search(text, at):
+            i, at, what = m.start(), m.end(), m[0]
+            if what in "\"'`":
+                before = text[i - 1] if i else " "
+                if what == "'" and before.isalnum() and not (before in _PREFIXES and not text[max(0, i - 2)].isalnum()):
+                    continue  # an apostrophe
+                fence = what * 3
+                if text.startswith(fence, i):
+                    if what == "`":
+                        at = i + 3  # a fence of code, not a string
+                        continue
+                    end = text.find(fence, i + 3) if unclosed.get(fence, -1) < i else -1
+                    if end >= 0:
+                        at = self._string(i, i + 3, end, end + 3)
+                        continue
+                    unclosed[fence] = len(text)
+                if unclosed.get(what, -1) >= i:
+                    continue
+                if c := _CLOSED[what].match(text, i + 1):
+                    at = self._string(i, i + 1, c.end() - 1, c.end())
+                else:  # no quote up to the line's end closes this one, nor any opened later in the line
+                    unclosed[what] = self._line_end(i)
+            elif what == "#":
+                if not i or text[i - 1] in " \t\r\n;{}(),":
+                    at = self._line_end(i)
+            elif what == "//":
+                if not i or text[i - 1] not in ":/" and not text[i - 1].isalnum() or text[i + 2 : i + 3] in ("", " ", "\t"):
+                    at = self._line_end(i)
+            elif what in ("/*", "<!--"):
+                close = "*/" if what == "/*" else "-->"
+                end = text.find(close, at) if unclosed.get(what, -1) < i else -1
+                if end >= 0:
+                    at = end + len(close)
+                else:
+                    unclosed[what] = len(text)
+            elif what in ("=", ":=", "=>", "+=") or what == ":" and text[at : at + 1] != "/":
+                self.operators.append((i, at, what))
+
+    def _line_end(self, i: int) -> int:
+        end = self.text.find("\n", i)
+        return len(self.text) if end < 0 else end
+
+    def _string(self, i: int, inner: int, inner_end: int, end: int) -> int:
+        self.strings[i] = (inner, inner_end, end)
+        self.ending[end] = i
+        return end
+
+    def _back(self, end: int) -> int:
+        while end and self.text[end - 1] in " \t":
+            end -= 1
+        return end
+
+    def _name_start(self, end: int) -> int:
+        while end and self.text[end - 1] in _NAME_CHARS:
+            end -= 1
+        return end
+
+    def target(self, end: int) -> str | None:
+        """The name that ends before end, blanks aside. No operator is passed, so all calls are linear together."""
+        text, key = self.text, ""
+        end = self._back(end)
+        if end in self.ending:
+            name = text[slice(*self.strings[self.ending[end]][:2])]
+            return name if _NAME_START.match(name) else None
+        if end and text[end - 1] in "]}":
+            at = self._back(end - 1)
+            if at in self.ending:
+                at = self.ending[at]
+                key = "." + text[slice(*self.strings[at][:2])]
+            elif (start := self._name_start(at)) < at:
+                key, at = "." + text[start:at], start - (start > 0 and text[start - 1] == ":")
+            at = self._back(at)
+            if not at or text[at - 1] not in "[{":
+                return None
+            end = self._back(at - 1)
+        start = self._name_start(end)
+        if not key and text[start:end] in _TYPE_WORDS:  # name type = value
+            up = self._back(start)
+            if (first := self._name_start(up)) < up < start:
+                start, end = first, up
+        first = _NAME_START.search(text, start, end)
+        return text[first.start() : end] + key if first else None
+
+    def subscript(self, at: int) -> tuple[str, int] | None:
+        """Of ["key"] at this place the key and the end."""
+        if self.text[at : at + 1] in ("[", "{"):
+            i = _BLANKS.match(self.text, at + 1).end()
+            if i in self.strings:
+                a, b, end = self.strings[i]
+                end = _BLANKS.match(self.text, end).end()
+                if self.text[end : end + 1] in ("]", "}"):
+                    return self.text[a:b], end + 1
+        return None
+
+    def values(self, at: int, constants: dict[str, list[Value]]) -> list[Value]:
+        """The values that start here: one, or those of a list or of a call's arguments."""
+        text, out, depth, called = self.text, [], 0, False
+        spans: list[tuple[int, int]] = []
+        carried: list[Value] = []
+        terms = 0
+
+        def close() -> None:
+            nonlocal spans, carried, terms
+            if terms == 1 and carried:
+                out.extend(carried)  # another name of the same constant
+            elif spans or carried:
+                out.append(Value(text, spans, carried))
+            spans, carried, terms = [], [], 0
+
+        while True:
+            at = (_SPACES if depth else _BLANKS).match(text, at).end()
+            c, quote = text[at : at + 1], at
+            while quote < at + 2 and text[quote : quote + 1] in _PREFIXES:
+                quote += 1
+            if quote in self.strings:
+                i, j, at = self.strings[quote]
+                if not (called and _NO_DIGIT.match(text, i, j)):  # arguments without a digit are names of settings
+                    spans.append((i, j))
+                terms += 1
+            elif c and c in "([":
+                depth, at = depth + 1, at + 1
+                continue
+            elif c and c in ")]" and depth:
+                depth, at = depth - 1, at + 1
+            elif c == "," and depth:
+                close()
+                at += 1
+                continue
+            elif m := _NAME.match(text, at):
+                name, end = m[0].lstrip("$@"), m.end()
+                while known := self.subscript(end):
+                    name, end = f"{name}.{known[0]}", known[1]
+                if name in constants:
+                    carried = carried + constants[name]
+                elif text[end : end + 1] == "(":
+                    depth, at, called = depth + 1, end + 1, True
+                    continue
+                elif not (depth or terms or end > m.end() or c in "$@"):
+                    end = _BARE.match(text, at).end()
+                    if not _NO_DIGIT.match(text, at, end):
+                        spans.append((at, end))
+                terms, at = terms + 1, end
+            elif not depth and (m := _BARE.match(text, at)):
+                spans.append(m.span())
+                terms, at = terms + 1, m.end()
+            else:
+                break
+            if j := _JOIN.match(text, at):
+                at = j.end()
+                continue
+            at = (_SPACES if depth else _BLANKS).match(text, at).end()
+            if not (depth and text[at : at + 1] in (")", "]", ",") or terms and at in self.strings):
+                break
+        close()
+        return out
 
 
 def lexed_spans(text: str, least: float = LEAST_SCORE) -> list[Span]:
     """Literals that reach a sensitive name, directly, through a named constant or in a sum."""
-    constants: dict[str, Value] = {}
+    constants: dict[str, list[Value]] = {}
     found: set[tuple[int, int]] = set()
-    for op in _OPERATOR.finditer(text):
-        name = name_before(text, op.start())
+    annotated: dict[int, str] = {}
+    lexed = Lexed(text)
+
+    def assign(name: str, values: list[Value], more: bool = False) -> None:
+        if more and name in constants:
+            values = [Value(text, [], constants[name] + values)]
+        constants[name] = values
+        if score := name_score(name):
+            for v in values:
+                if score * v.score(text) >= least:
+                    found.update((i, j) for i, j in v.tell() if j > i)
+
+    for start, end, operator in lexed.operators:
+        name = annotated.pop(start, None) or lexed.target(start)
         if not name:
             continue
-        spans, carried, at = [], [], op.end()
-        while m := _OPERAND.match(text, at):
-            end = m.end()
-            if m[4] is not None:
-                for i, j in bare_operands(text, *m.span(4), constants):
-                    if text[i:j] in constants and text[end : end + 1] not in ("(", "["):
-                        carried.append(constants[text[i:j]])
-                    else:
-                        spans.append((i, j))
-                if carried and m[4].endswith("+"):
-                    end -= 1
-            elif m[3] is None:
-                spans.append(m.span(1 if m[1] is not None else 2))
-            elif m[3] in constants:
-                carried.append(constants[m[3]])
-            elif at == op.end():
-                spans.append(m.span(3))
-            plus = _PLUS.match(text, end)
-            if not plus:
-                break
-            at = plus.end()
-        if not spans and not carried:
-            continue
-        constants[name] = value = Value(text, spans, carried)
-        if (s := name_score(name)) and s * value.score(text) >= least:
-            found.update((i, j) for i, j in value.tell() if j > i)
+        if operator == ":" and (m := _ANNOTATED.match(text, end)):
+            annotated[m.end()] = name
+        elif values := lexed.values(end, constants):
+            assign(name, values, operator == "+=")
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            assign(m[1], [Value(text, [m.span(2)], [])])
     return [("lex", i, j, i, j) for i, j in sorted(found)]
 
 
@@ -168,7 +316,7 @@ def all_spans(text: str | None) -> list[Span]:
     if not text:
         return []
     out = base_spans(text)
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         out += lexed_spans(text)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -530,3 +530,22 @@ def test_preferences(spark):
     assert out[2].prompt == "" and out[2].rejected == "" and out[2].chosen == "<||>\nalone<|end|>\n"
     assert out[3].prompt_turns == 1 and out[3].chosen == out[3].rejected == ""
     assert not chat_format.preference_pairs(spark.createDataFrame([], talk)).collect()
+
+
+def test_the_registered_pairs_have_prompts(spark):
+    """Most pairs of the query share a prompt, and what differs are completions."""
+    top = "/root/testdata/sf0.01"
+    rows = chat_format.op5_preference_format(spark, top).collect()
+    assert sum(r.prompt_turns > 0 for r in rows) > 0.6 * len(rows)
+    talks = defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{top}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn)):
+        talks[r.conv_id].append((r.role, r.text))
+    for r in rows:
+        c, o = talks[2 * r.pair_id], talks[2 * r.pair_id + 1]
+        k = r.pair_id % len(c)
+        other = c[:k] + o[k:]
+        n = next((i for i, (a, b) in enumerate(zip(c, other)) if a != b), min(len(c), len(other)))
+        shown = lambda turns: "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in turns)
+        assert (r.prompt_turns, r.prompt, r.chosen, r.rejected) == (n, shown(c[:n]), shown(c[n:]), shown(other[n:]))
+        trained = [x for x in (r.rejected[slice(*map(int, m.split(":")))] for m in r.rejected_mask.split(",") if m)]
+        assert trained == [f"{text}<|end|>" for role, text in other[n:] if role == "assistant"]

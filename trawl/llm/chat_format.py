@@ -53,9 +53,8 @@ def masks(turns: Column) -> Column:
     return F.concat_ws(",", F.aggregate(turns, zero, step, lambda a: a["spans"]))
 
 
-def preference_pairs(turns: DataFrame) -> DataFrame:
-    """turns: pair_id, side (chosen or rejected), turn, role, text. Per pair: prompt, completions, masks, counts."""
-    sides = pick(turns, "pair_id", "side", "turn", "role", "text").groupBy("pair_id").agg(_turns("chosen").alias("c"), _turns("rejected").alias("r"))
+def formatted(sides: DataFrame) -> DataFrame:
+    """sides: pair_id, c and r, the turns (role, text) of the chosen and of the rejected. Per pair: prompt, completions, masks, counts."""
     least = F.least(F.size("c"), F.size("r"))
     differ = F.array_position(F.zip_with(F.slice("c", 1, least), F.slice("r", 1, least), lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
     known = sides.withColumn("n", F.when(differ > 0, differ - 1).otherwise(least))
@@ -73,20 +72,40 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def _sides(turns: DataFrame) -> DataFrame:
+    return pick(turns, "pair_id", "side", "turn", "role", "text").groupBy("pair_id").agg(_turns("chosen").alias("c"), _turns("rejected").alias("r"))
+
+
+def preference_pairs(turns: DataFrame) -> DataFrame:
+    """turns: pair_id, side (chosen or rejected), turn, role, text. Per pair: prompt, completions, masks, counts."""
+    return formatted(_sides(turns))
+
+
 def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
+    """Pair k: chosen is conversation 2k; rejected has its first k mod n of n turns, and goes on as conversation 2k + 1 does from there.
+
+    The table holds single conversations; so made, pairs fork where two answers to one prompt would.
+    """
     turns = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
     side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return preference_pairs(turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    both = _sides(turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    fork = F.pmod("pair_id", F.greatest(F.size("c"), F.lit(1))).cast("int")
+    forked = F.concat(F.slice("c", 1, F.col("fork")), F.slice("r", F.col("fork") + 1, F.greatest(F.size("r") - F.col("fork"), F.lit(0))))
+    return formatted(both.withColumn("fork", fork).select("pair_id", "c", forked.alias("r")))
 
 
 def oracle_sql() -> str:
     shown = "'<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10)"
     return f"""
-WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, role, text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
-    {shown} AS shown, length('<|' || coalesce(role, '') || '|>') + 1 AS head FROM conversations WHERE conv_id IS NOT NULL),
+WITH every AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, ((conv_id % 2) + 2) % 2 AS side, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+forks AS (SELECT pair_id, CASE WHEN nc = 0 THEN 0 ELSE ((pair_id % nc) + nc) % nc END AS fork FROM (SELECT pair_id, count(*) FILTER (side = 0) AS nc FROM every GROUP BY 1)),
+t AS (
+  SELECT *, {shown} AS shown, length('<|' || coalesce(role, '') || '|>') + 1 AS head FROM (
+    SELECT pair_id, 0 AS side, i, role, text FROM every WHERE side = 0
+    UNION ALL SELECT pair_id, 1, i, role, text FROM every JOIN forks USING (pair_id) WHERE side = 0 AND i <= fork
+    UNION ALL SELECT pair_id, 1, i, role, text FROM every JOIN forks USING (pair_id) WHERE side = 1 AND i > fork)),
 sizes AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM t GROUP BY 1),
 alike AS (
   SELECT s.pair_id, coalesce(min(c.i) FILTER (c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) - 1, least(any_value(nc), any_value(nr))) AS n

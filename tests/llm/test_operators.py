@@ -498,20 +498,45 @@ def test_a_repeated_doc_id_gives_one_text_to_the_fit(spark, monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(*samples, strict=True))
 
 
+def made_urls(seed, n):
+    """URLs with a label that depends on the host's ending and on the parameters, and is wrong once in 20."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        ending, params = r.choice(["com", "net", "org", "zz", "yy"]), r.randrange(0, 6)
+        host = "".join(r.choice("abcdefghij0123") for _ in range(r.randrange(3, 15)))
+        label = int(ending in ("zz", "yy") or params > 3)
+        out.append((f"http://{host}.site.{ending}/{r.choice(['en', 'de'])}/{r.randrange(900)}" + ("?" + "&".join(f"k{i}=1" for i in range(params)) if params else ""), label if r.random() > 0.05 else 1 - label))
+    return out
+
+
 def test_urls(spark):
-    urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/7x?q", "http://a.example.net/de/81#f", "http://net/de/", "http://xnet/de/1", "https://x.org/es/?a=1", "ftp://h.com", "http://h.com?x=/en/", "http://example.com/en/8", "http://cheap-pills-99.example.biz/en/1?id=9&aff=8&sub=7&click=6", "http://garden.example.net/fr/12"]
+    urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/7x?q", "http://a.example.net/de/81#f", "http://net/de/", "http://xnet/de/1", "https://x.org/es/?a=1", "ftp://h.com", "http://h.com?x=/en/", "http://example.com/en/8", "http://ab.site.zz/en/1?id=9&aff=8&sub=7&click=6", "http://garden.site.net/fr/12", "http://" + "longhost" * 20_000 + ".com/"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*urls, urls[3]])], "page_id long, url string, host string, verdict string")
-    forest = url_filter.fit(url_filter.seed_urls(spark, 1500), trees=4)
+    forest = url_filter.fit(spark.createDataFrame(made_urls(1, 1500), "url string, label int"))
     out = {r.page_id: r for r in url_filter.url_verdicts(pages, forest).collect()}
     assert [(out[i].host, out[i].path) for i in (0, 2, 3, 4, 8, 9)] == [("", ""), ("", ""), ("www.example.com", "/en/7x"), ("a.example.net", "/de/81"), ("h.com", ""), ("h.com", "")]
     assert [out[i].rule for i in range(3, 11)] == ["example.com/en/7", "example.net/de/8", "net/de/", None, "org/es/", None, None, "com/en/"]
     assert [out[i].verdict for i in (3, 4, 5, 7, 10, 11, 12)] == ["allow", "block", "allow", "block", "block", "block", "allow"]
     assert len(out) == len(urls) + 1 and not url_filter.url_verdicts(pages.where("false"), forest).collect()
-    labelled = url_filter.seed_urls(spark, 1500).withColumn("page_id", url_filter.F.lit(1))
-    scored = url_filter.url_verdicts(labelled, forest, []).count()
-    assert scored == 1500
-    one_kind = url_filter.fit(url_filter.seed_urls(spark, 50).where("label = 1"))
-    assert one_kind.trees == []
+    # labels of other URLs are told as well as the noise allows, and the rates are those of a plain count
+    other = spark.createDataFrame([(i, u, label) for i, (u, label) in enumerate(made_urls(2, 1500))], "page_id long, url string, label int")
+    scored = url_filter.url_verdicts(other, forest, []).join(other.select("page_id", "label"), "page_id")
+    assert url_filter.auc(scored) > 0.9
+    rows = [(r.score, r.label) for r in scored.collect()]
+    ones, zeros = [s for s, x in rows if x], [s for s, x in rows if not x]
+    assert math.isclose(url_filter.auc(scored), sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / len(ones) / len(zeros))
+    assert url_filter.fit(spark.createDataFrame([("http://a.b/", 1)] * 5, "url string, label int")).trees == []
+
+
+def test_entropy_and_page_labels(spark):
+    texts = ["", "a", "aab", "abcabc", "日本日", "x" * 50_000]
+    got = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(url_filter._entropy(url_filter.F.col("t")).alias("e")).collect()]
+    assert np.allclose(got, [-sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values()) for t in texts])
+    pages = [("u1", "<p>plain words of a page that goes on and on &amp; more of them</p><script>#### $$$$</script>"), ("u2", "<p>## ** a $$ b</p>"), ("u3", None), ("u4", "<b>" + "same " * 80 + "</b>"), (None, "<p>text</p>"), ("u5", "<!-- ### -->fine")]
+    labels = url_filter.page_labels(spark.createDataFrame(pages, "url string, html string"))
+    assert {(r.url, r.label) for r in labels.collect()} == {("u1", 0), ("u2", 1), ("u3", 0), ("u4", 1), (None, 0), ("u5", 0)}
+    assert url_filter.page_labels(spark.createDataFrame(pages, "url string, html string"), 2).count() == 2
 
 
 def test_preferences(spark):

@@ -2,15 +2,23 @@
 
 The longest fitting rule decides; what no rule fits, the trees decide. The trees are grown from
 labelled URLs by histograms: the features are cut at quantiles, each level of a tree is one
-aggregation of gradient sums by (node, feature, bin), and only those bounded sums reach the driver.
-A grown forest is one SQL expression, so scoring is a projection inside the scan's stage.
+aggregation of gradient sums by (node, feature, bin), and only those bounded sums reach the driver;
+leaves get their weights from the sums of the level above. A grown forest is one SQL expression, so
+scoring is a projection inside the scan's stage.
 
-DataFrame functions only. Fitting takes at most SAMPLE labelled URLs, those of lowest hash.
+The query's labels come from what the pages hold, not from their URLs: a page whose visible text is
+full of symbols, or of few different words, is one to block. One in HELD_OUT URLs, by hash, is kept out
+of fitting, to measure by (`auc`).
+
+DataFrame functions only. Fitting takes at most SAMPLE labelled URLs, those of lowest hash; of host
+endings the SUFFIXES most frequent ones in that sample have statistics of their own, all others share
+the overall rate.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and is
 scored on what it has. Of rules of equal length the first in the list wins. Rows are independent:
 repeated rows and null page_ids stay, extra columns change nothing, an empty table gives an empty
-result. Without labelled URLs of both kinds every score is the share of blocked ones, or 0.
+result. Null pages have an empty text and are no pages to block. Without labelled URLs of both kinds
+every score is the share of blocked ones, or 0.
 """
 
 from __future__ import annotations
@@ -18,13 +26,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trawl.llm.shared import materialize, pick, table
 
 #: Fixed values: (verdict, host/path).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-SAMPLE, TREES, DEPTH, BINS, RATE, RIDGE, SUFFIXES = 20_000, 12, 3, 16, 0.3, 1.0, 256
+SAMPLE, TREES, DEPTH, BINS, RATE, RIDGE, SUFFIXES = 20_000, 10, 3, 16, 0.3, 1.0, 256
+#: A page is one to block from this share of symbols, or below this share of different words among at least so many.
+SYMBOLS, DIFFERENT, LEAST_WORDS, HELD_OUT = 0.03, 0.2, 50, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,10 +60,16 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits a character."""
-    n = F.greatest(F.char_length(text), F.lit(1))
-    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", 0.0).otherwise((n - F.char_length(F.replace(text, c, F.lit("")))) / n))
-    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    """Bits a character: log2 n less the mean of log2 of how often each occurs. Runs of the sorted characters are counted in one pass."""
+    zero = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    done = lambda a: a["sum"] + F.when(a["run"] > 0, a["run"] * F.log2(a["run"])).otherwise(0.0)
+
+    def step(a: Column, c: Column) -> Column:
+        same = a["c"] == c
+        return F.struct(c.alias("c"), F.when(same, a["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, a["sum"]).otherwise(done(a)).alias("sum"))
+
+    n = F.char_length(text).cast("double")
+    return F.when(n > 0, F.log2(n) - F.aggregate(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), zero, step, done) / n).otherwise(0.0)
 
 
 def suffix(host: Column) -> Column:
@@ -103,37 +119,37 @@ class Forest:
 
 
 def _grow(binned: DataFrame, names: list[str], cuts: dict[str, list[float]], margin: Column) -> object:
-    """One tree: DEPTH levels, each one aggregation of gradients and curvatures by node, feature and bin."""
+    """One tree: each of DEPTH levels is one aggregation of gradients and curvatures by node, feature and bin."""
     p = 1 / (1 + F.exp(-margin))
-    rows = materialize(binned.select((p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"), *[F.col(f"b_{x}") for x in names]))
-    node, tree = F.lit(0), {}
-    for depth in range(DEPTH + 1):
-        exploded = rows.where(node >= 0).select(node.alias("node"), "g", "h", F.posexplode(F.array(*[f"b_{x}" for x in names])).alias("feature", "bin"))
-        sums = {}
+    rows = binned.select((p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"), F.array(*[f"b_{x}" for x in names]).alias("bins"))
+    node, tree, weight = F.lit(0), {}, lambda g, h: -RATE * g / (h + RIDGE)
+    for _ in range(DEPTH):
+        exploded = rows.select(node.alias("node"), "g", "h", F.posexplode("bins").alias("feature", "bin")).where("node >= 0")
+        sums: dict = {}
         for r in exploded.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # nodes x features x bins
             sums.setdefault(r.node, {}).setdefault(r.feature, {})[r.bin] = (r.g, r.h)
-        tests = F.lit(-1)
+        tests, split = F.lit(-1), False
         for k, by_feature in sums.items():
             g, h = (sum(v[i] for v in by_feature[0].values()) for i in (0, 1))
             best = (1e-6, None)
-            if depth < DEPTH:
-                for f, bins in sorted(by_feature.items()):
-                    gl = hl = 0.0
-                    for b in range(len(cuts[names[f]])):
-                        gl, hl = gl + bins.get(b, (0, 0))[0], hl + bins.get(b, (0, 0))[1]
-                        if hl >= 1.0 and h - hl >= 1.0:
-                            gain = gl**2 / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g**2 / (h + RIDGE)
-                            best = max(best, (gain, (f, b)), key=lambda x: x[0])
+            for f, bins in sorted(by_feature.items()):
+                gl = hl = 0.0
+                for b in range(len(cuts[names[f]])):
+                    gl, hl = gl + bins.get(b, (0, 0))[0], hl + bins.get(b, (0, 0))[1]
+                    if hl >= 1.0 and h - hl >= 1.0:
+                        gain = gl**2 / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g**2 / (h + RIDGE)
+                        best = max(best, (gain, (f, b, gl, hl)), key=lambda x: x[0])
             if best[1] is None:
-                tree[k] = -RATE * g / (h + RIDGE)
+                tree[k] = weight(g, h)
                 continue
-            f, b = best[1]
-            tree[k] = (names[f], cuts[names[f]][b])
-            tests = F.when(node == k, F.when(F.col(f"b_{names[f]}") <= b, 2 * k + 1).otherwise(2 * k + 2)).otherwise(tests)
-        if depth == DEPTH or not any(isinstance(v, tuple) and 2 * k + 1 not in tree for k, v in tree.items()):
+            f, b, gl, hl = best[1]
+            tree[k], split = (names[f], cuts[names[f]][b]), True
+            # leaves, unless the next level splits them
+            tree[2 * k + 1], tree[2 * k + 2] = weight(gl, hl), weight(g - gl, h - hl)
+            tests = F.when(node == k, F.when(F.get("bins", F.lit(f)) <= b, 2 * k + 1).otherwise(2 * k + 2)).otherwise(tests)
+        if not split:
             break
-        rows = rows.withColumn("at", tests)
-        node = F.col("at")
+        rows, node = rows.withColumn("at", tests), F.col("at")
 
     def build(k: int) -> object:
         v = tree.get(k, 0.0)
@@ -175,26 +191,42 @@ def url_verdicts(pages: DataFrame, forest: Forest, rules: list[tuple[str, str]]
     return rows.withColumn("score", score).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
 
 
-#: Words of invented hosts, by label.
-_BAD = ["cheap", "pills", "casino", "bonus", "win", "free", "loan", "spam", "farm", "hot", "deal", "crypto", "bet", "xxx", "viagra", "click"]
-_GOOD = ["library", "news", "garden", "school", "museum", "river", "music", "recipes", "science", "travel", "city", "health", "maps", "weather", "books", "archive"]
-_BAD_ENDS, _GOOD_ENDS = ["com", "net", "org", "xyz", "biz", "info"], ["com", "net", "org", "com", "org", "edu"]
+def held_out() -> Column:
+    return F.pmod(F.xxhash64(F.lit(HELD_OUT), "url"), F.lit(HELD_OUT)) == 0
+
+
+def visible(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments and tags; the five common entities are characters."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    return bare
+
+
+def page_labels(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """url, label (1: block) of about sample pages, those of lowest hash, by what they hold."""
+    rows = pick(pages, "url", "html").withColumn("h", F.xxhash64("url"))
+    # the hash up to which a page is in the sample; only those pages' texts are looked at
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    text = rows.where(F.col("h") <= (last if last is not None else 0)).select("url", visible(F.coalesce("html", F.lit(""))).alias("text"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    n = F.char_length(F.regexp_replace("text", r"\s", ""))
+    told = text.select("url", "text", words.alias("w")).select(
+        "url",
+        ((_count(F.col("text"), "#*$%&|<>") > SYMBOLS * n) | (F.size("w") >= LEAST_WORDS) & (F.size(F.array_distinct("w")) < DIFFERENT * F.size("w"))).cast("int").alias("label"),
+    )
+    return told.distinct()
 
 
-def seed_urls(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """n labelled URLs made by rule from the word lists: blocked hosts are hyphenated, with digits and many parameters."""
-    word = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(words))) + 1).cast("int"))
-    dice = lambda salt, sides: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(sides))
-    number = dice("number", 1000).cast("string")
-    scheme = F.when(dice("s", 10) < F.when(F.col("label") == 1, 4).otherwise(6), "https://").otherwise("http://")
-    sub = F.when(dice("sub", 3) == 0, "www.").when(dice("sub", 3) == 1, "blog.").otherwise("")
-    bad = F.concat(word(_BAD, "a"), F.when(dice("h", 16) == 0, "").otherwise("-"), word(_BAD, "b"), F.when(dice("d", 3) == 0, F.concat(F.lit("-"), number)).otherwise(""), F.lit(".example."), word(_BAD_ENDS, "e"))
-    good = F.concat(word(_GOOD, "a"), F.when(dice("h", 12) == 0, "-").otherwise(""), F.when(dice("g", 4) == 0, word(_GOOD, "b")).otherwise(""), F.lit(".example."), word(_GOOD_ENDS, "e"))
-    query = F.when(dice("q", 4) == 0, "?page=2&ref=x").when(dice("q", 4) == 1, "?utm_source=feed").when(dice("q", 4) == 2, "#top").otherwise("")
-    spam = F.when((F.col("label") == 1) & (dice("p", 3) == 0), "?id=93&aff=81&sub=3&click=7").otherwise(query)
-    rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("int"))
-    return rows.select(F.concat(scheme, sub, F.when(F.col("label") == 1, bad).otherwise(good), F.lit("/"), word(["en", "de", "fr", "es"], "l"), F.lit("/"), number, spam).alias("url"), "label")
+def auc(scored: DataFrame) -> float:
+    """score, label: the share of pairs of a 1 and a 0 that the score orders rightly, ties half."""
+    counts = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    below = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))  # of the bounded sample's different scores
+    right, p, n = counts.select("p", "n", (F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2)).alias("right")).agg(F.sum("right"), F.sum("p"), F.sum("n")).first()
+    return right / (p * n) if p and n else 0.5
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(table(spark, sf_dir, "pages"), fit(seed_urls(spark)))
+    pages = table(spark, sf_dir, "pages")
+    labelled = materialize(page_labels(pages))
+    return url_verdicts(pages, fit(labelled.where(~held_out())))

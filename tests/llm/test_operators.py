@@ -432,7 +432,7 @@ def test_quality_statistics(docs, none):
 
 
 def test_quality_outliers(spark):
-    """A determinant of few outliers: noisy rows go, the rest stays; the distances are those of numpy."""
+    """Noisy rows go, the rest stays."""
     r = random.Random(1)
     rows = [(i, prose(i, r.randrange(60, 200)), "en", "a") for i in range(300)]
     rows += [(1000 + i, " ".join(w + "###$$" for w in prose(i, 80).split()), "en", "a") for i in range(20)]
@@ -440,6 +440,40 @@ def test_quality_outliers(spark):
     assert {r.doc_id for r in out if not r.kept} == set(range(1000, 1020))
 
 
+def test_distances_are_those_of_numpy(spark):
+    """The estimates by the stated steps, on groups with outliers and with equal vectors."""
+    r = random.Random(4)
+    rows = [(i, prose(i, r.randrange(30, 260)) + " ##" * r.choice([0, 0, 1, 4]), "en", "a") for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "#$" * (1 + i % 3) for w in prose(i, 80).split()), "en", "a") for i in range(90)] + [(2000 + i, prose(7, 100), "en", "a") for i in range(50)]
+    got = {x.doc_id: x.distance for x in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    stats = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    vectors = [(x.doc_id, [x[c] for c in quality_rules.XS]) for x in quality_rules.with_stats(stats).where("not base_failed").collect()]
+    every = np.array([v for _, v in vectors])
+    u, floors = np.unique(every, axis=0), np.diag(np.array(list(quality_rules.FLOORS.values())) ** 2)
+    middle = lambda d, axis=None: np.quantile(d, 0.5, axis=axis, method="inverted_cdf")
+    far = lambda x, m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    found = []
+    for m, c in ((middle(u, 0), np.diag((1.4826 * middle(abs(u - middle(u, 0)), 0)) ** 2)), (u.mean(0), np.cov(u.T, bias=True))):
+        c, before = c + floors, math.inf
+        steps = []
+        while True:
+            d = far(u, m, c)
+            inside = u[d <= middle(d)]
+            m, c = inside.mean(0), np.cov(inside.T, bias=True) + floors
+            steps.append(np.linalg.slogdet(c)[1])
+            found.append((m, c, steps))
+            if len(steps) > 12:
+                break
+    # both starts go on until neither falls
+    n = next(k for k in range(1, 13) if all(f[2][k] >= f[2][k - 1] - quality_rules.SETTLED for f in (found[0], found[-1])))
+    m, c, _ = min((found[n], found[13 + n]), key=lambda f: np.linalg.slogdet(f[1])[1])
+    d = far(u, m, c)
+    inside = u[d <= quality_rules.quantile(0.975) * max(middle(d) / quality_rules.quantile(0.5), 0.2)]
+    d = far(every, inside.mean(0), np.cov(inside.T, bias=True) + floors) * quality_rules.chi_square(quality_rules.quantile(0.975), 2) / 0.975
+    assert np.allclose([got[i] for i, _ in vectors], d, rtol=1e-6)
+    assert math.isclose(quality_rules.quantile(0.95), 11.0705, abs_tol=1e-4) and math.isclose(quality_rules.chi_square(14.0671, 2), 0.95, abs_tol=1e-5)
+
+
 @pytest.mark.parametrize("copies", [False, True])
 def test_a_third_of_junk_is_still_rejected(spark, copies):
     """Junk, in copies or not, is a third of its group; and copies of it are the most of a group."""

@@ -5,7 +5,9 @@ A linear logistic model minimises the non-negative unbiased risk
 from trusted positives P (label 1) and unlabelled texts U; labels 0 are never used. The class prior
 pi is estimated first: a positive-against-unlabelled model, fitted on one half, ranks the other, and
 the least ratio of the unlabelled to the positive share above a threshold, with its confidence
-bound, is the prior (best-bin estimation).
+bound, is the prior (best-bin estimation), kept within PRIORS. The weight decay is the one of DECAYS
+with the least non-negative zero-one risk on a fifth of the sample that the compared models don't see;
+that risk needs no labels 0 either.
 
 Features come from the whole text's bytes: shares of byte classes, lengths, repeated lines and
 hashed byte pairs, words that follow themselves. Fitting takes a bounded sample, POSITIVES and UNLABELLED rows of lowest hash; it
@@ -30,7 +32,8 @@ from trawl.llm.shared import chunks, extended, mix, pick, table
 #: Most rows of the fitting sample: trusted positives, and unlabelled texts.
 POSITIVES, UNLABELLED = 6000, 12_000
 HASHED, DENSE = 256, 20
-EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 2e-2
+EPOCHS, BATCH, RATE = 40, 512, 0.02
+DECAYS, PRIORS = (5e-3, 1e-2, 2e-2, 4e-2), (0.05, 0.98)
 _BUCKET = (mix(np.arange(65536, dtype=np.uint64)) % np.uint64(HASHED)).astype(np.int64)
 _CLASS = np.zeros(256, np.int64)  # 0: other punctuation
 for _k, _bytes in enumerate((b" ", b"\t\r\v\f", b"\n", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b".,;:!?'\"-()", b"#*$%&|<>", bytes(range(128, 256))), 1):
@@ -80,7 +83,7 @@ def _adam(grad, width: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, seed: int = 7) -> np.ndarray:
+def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, decay: float, seed: int = 7) -> np.ndarray:
     """Weights of the linear model with the least non-negative unbiased risk; the last column of p and u is 1."""
     rng, steps = np.random.default_rng(seed), EPOCHS * max(1, len(u) // BATCH)
 
@@ -91,7 +94,7 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, seed: int = 7) -> np.ndarr
         of_negative = b.T @ _sigmoid(gb) / len(b) - prior * (a.T @ _sigmoid(ga)) / len(a)
         if negative < 0:  # the negative part can't be below 0: go back up
             return -of_negative
-        return -prior * (a.T @ _sigmoid(-ga)) / len(a) + of_negative + DECAY * w
+        return -prior * (a.T @ _sigmoid(-ga)) / len(a) + of_negative + decay * w
 
     return _adam(grad, p.shape[1], steps, RATE)
 
@@ -106,7 +109,7 @@ def class_prior(p: np.ndarray, u: np.ndarray, seed: int = 7) -> float:
 
     def grad(w: np.ndarray, _: int) -> np.ndarray:
         a, b = p[rng.integers(hp, size=BATCH)], u[rng.integers(hu, size=BATCH)]
-        return (b.T @ _sigmoid(b @ w) - a.T @ _sigmoid(-(a @ w))) / BATCH + DECAY * w
+        return (b.T @ _sigmoid(b @ w) - a.T @ _sigmoid(-(a @ w))) / BATCH + DECAYS[-1] * w
 
     w = _adam(grad, p.shape[1], EPOCHS * max(1, hu // BATCH), RATE)
     sp, su = np.sort(p[hp:] @ w), np.sort(u[hu:] @ w)
@@ -114,7 +117,23 @@ def class_prior(p: np.ndarray, u: np.ndarray, seed: int = 7) -> float:
     top_u = 1 - np.searchsorted(su, sp) / len(su)
     bound = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
     best = np.argmin((top_u + bound) / np.maximum(top_p, 1e-9))
-    return float(np.clip(top_u[best] / max(top_p[best], 1e-9), 0.05, 0.98))
+    return float(np.clip(top_u[best] / max(top_p[best], 1e-9), *PRIORS))
+
+
+def zero_one_risk(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray) -> float:
+    """The non-negative unbiased estimate of how often the model is wrong."""
+    right = (p @ w >= 0).mean()
+    return float(prior * (1 - right) + max(0.0, (u @ w >= 0).mean() - prior * right))
+
+
+def best_decay(p: np.ndarray, u: np.ndarray, prior: float, seed: int = 7) -> float:
+    """Of equal risks the greater decay."""
+    rng = np.random.default_rng(seed)
+    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+    hp, hu = len(p) // 5, len(u) // 5
+    if not hp or not hu:
+        return DECAYS[-1]
+    return min(reversed(DECAYS), key=lambda d: zero_one_risk(p[:hp], u[:hu], prior, nn_pu(p[hp:], u[hu:], prior, d)))
 
 
 class Model:
@@ -125,7 +144,8 @@ class Model:
             self.mean, self.std = every.mean(0), every.std(0) + 0.02
             ready = lambda x: np.concatenate([(x - self.mean) / self.std, np.ones((len(x), 1))], 1)
             self.prior = class_prior(ready(p), ready(u))
-            self.weights = nn_pu(ready(p), ready(u), self.prior)
+            self.decay = best_decay(ready(p), ready(u), self.prior)
+            self.weights = nn_pu(ready(p), ready(u), self.prior, self.decay)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:

@@ -2,10 +2,14 @@
 
 Every text becomes a vector of five transformed statistics. For each (lang, source) the minimum
 covariance determinant is sought by concentration steps from two starts (median and MAD; mean and
-standard deviation): the half of the vectors nearest to the centre gives the next centre and covariance,
-and the start that ends with the lower determinant is taken. Equal vectors of a (lang, source) count
-once, so copies can't outvote the rest; of different vectors, just under half may be outliers. A row is rejected when its squared
-Mahalanobis distance, scaled so that its median is that of a chi-square, exceeds CUTOFF.
+standard deviation): the half of the vectors nearest to the centre gives the next centre and
+covariance, until no determinant falls any longer; the start that ends with the lower one is taken.
+Equal vectors of a (lang, source) count once, so copies can't outvote the rest; of different vectors,
+just under half may be outliers. As usual, the estimates are then made once more of all vectors that
+lie within the WEIGHED quantile of the first ones, as half of the data alone understate the tails. A
+row is rejected when its squared Mahalanobis distance, made consistent for a normal distribution,
+exceeds the chi-square quantile of 1 - TAIL, widened by (n^2 - 1) / (n (n - 5)) as the estimates are
+of n vectors. Nothing here is fitted to labels.
 
 DataFrame functions only. Statistics are made once and kept as a table in the shared folder; groups
 are only ever aggregated with partial sums and quantile sketches, never gathered. Their small tables
@@ -23,6 +27,7 @@ carried through or left out, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,16 +35,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trawl.llm.shared import materialize, pick, table
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
-LEAST_ROWS, HALF, STEPS, SALTS = 200, 0.5, 3, 64
-#: A chi-square with five degrees of freedom has this median; the cutoff lies far beyond its 1 - 1e-6 quantile of 38.
-CHI_MEDIAN, CUTOFF = 4.3515, 120.0
-#: Standard deviations below which a statistic doesn't count as varying at all.
+LEAST_ROWS, HALF, SALTS = 200, 0.5, 64
+#: A clean row is rejected with this probability; the estimates are weighed within this quantile.
+TAIL, WEIGHED = 1e-5, 0.975
+#: A determinant that falls by less, in its logarithm, has stopped falling.
+SETTLED = 1e-3
+#: Standard deviations below which a statistic doesn't count as varying: half of a word's logarithm, a tenth of one elsewhere,
+#: and the share that a single repeated window has in a text of some 350 words.
 FLOORS = {"x_words": 0.5, "x_length": 0.1, "x_symbols": 0.1, "x_lines": 0.1, "x_repeat": 0.15}
 XS = list(FLOORS)
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SPACE = r"\x20\x09-\x0D"
 
 
+def chi_square(x: float, more: int = 0) -> float:
+    """The chi-square distribution function with 5 degrees of freedom, or 7 if more is 2."""
+    tail = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    return math.erf(math.sqrt(x / 2)) - tail * (1 + x / 3 + (x * x / 15 if more else 0))
+
+
+def quantile(p: float) -> float:
+    """The chi-square quantile with 5 degrees of freedom, by bisection."""
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle) < p else (low, middle)
+    return high
+
+
+#: By which the covariance of vectors within the WEIGHED quantile is too small.
+CONSISTENCY = WEIGHED / chi_square(quantile(WEIGHED), 2)
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value evaluated once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -146,8 +173,8 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(XS)], *[F.covar_pop(XS[i], XS[j]).alias(f"c_{i}_{j}") for i, j in pairs])
 
 
-def mcd(rows: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
-    """rows: _group, _salt and the vector. Per _group: centre, Cholesky factor of the minimum-determinant covariance, and scale of d2."""
+def mcd(rows: DataFrame, half: float = HALF) -> DataFrame:
+    """rows: _group, _salt and the vector. Per _group: centre, Cholesky factor of the reweighted minimum-determinant covariance, n of the vectors it is of."""
     medians = rows.groupBy("_group").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m_{i}") for i, x in enumerate(XS)])
     spread = _with(rows, medians, ["_group"]).groupBy("_group").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(XS))],
@@ -156,18 +183,27 @@ def mcd(rows: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
     zero = [F.lit(0.0).alias(f"c_{i}_{j}") for i, j in combinations_with_replacement(range(len(XS)), 2) if i != j]
     robust = spread.select("_group", *[f"m_{i}" for i in range(len(XS))], *[((1.4826 * F.col(f"s_{i}")) ** 2).alias(f"c_{i}_{i}") for i in range(len(XS))], *zero)
     starts = robust.withColumn("_start", F.lit(0)).unionByName(_moments(rows, ["_group"]).withColumn("_start", F.lit(1)))
-    now = materialize(_estimates(starts, ["_group", "_start"]))
-    for _ in range(steps):
+    now, first = materialize(_estimates(starts, ["_group", "_start"])), True
+    while True:
         near = _distance(_with(rows, now, ["_group"]))
         limit = near.groupBy("_group", "_start").agg(F.percentile_approx("d2", half, 10_000).alias("limit"))
-        inside = _with(near, materialize(limit), ["_group", "_start"]).where(F.col("d2") <= F.col("limit"))
-        now = materialize(_estimates(_moments(inside, ["_group", "_start"]), ["_group", "_start"]))
+        inside = _with(near, limit, ["_group", "_start"]).where(F.col("d2") <= F.col("limit"))
+        then = materialize(_estimates(_moments(inside, ["_group", "_start"]), ["_group", "_start"]))
+        # a start isn't of half of the vectors, so its determinant can't be compared
+        falls = first or not then.join(now.select("_group", "_start", F.col("log_det").alias("before")), ["_group", "_start"]).where(F.col("log_det") < F.col("before") - SETTLED).isEmpty()
+        now, first = then, False
+        if not falls:
+            break
     best = now.groupBy("_group").agg(F.min(F.struct("log_det", "_start", *[c for c in now.columns if c[1] == "_" and c[0] in "ml"])).alias("b")).select("_group", "b.*")
-    scale = _distance(_with(rows, best, ["_group"])).groupBy("_group").agg((F.percentile_approx("d2", 0.5, 10_000) / CHI_MEDIAN).alias("scale"))
-    return materialize(best.join(scale, "_group"))
+    near = _distance(_with(rows, best.drop("_start"), ["_group"]))
+    # where the floors are most of a covariance, distances are small by themselves, and are not blown up
+    scale = near.groupBy("_group").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / quantile(0.5), F.lit(0.2)).alias("scale"))
+    within = _with(near, scale, ["_group"]).where(F.col("d2") <= quantile(WEIGHED) * F.col("scale"))
+    weighed = _estimates(_moments(within, ["_group"]), ["_group"])
+    return materialize(weighed.join(within.groupBy("_group").agg(F.count("*").cast("double").alias("n")), "_group"))
 
 
-def quality_rules(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, least: int = LEAST_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: list[str], tail: float = TAIL, least: int = LEAST_ROWS) -> DataFrame:
     """Per row of docs: keep, the statistics, base_failed, distance (null where no group is large enough), kept."""
     names = list(dict.fromkeys([*keep, "text", "lang", "source"]))
     plain = pick(docs, *names).toDF(*[f"_in{i}" for i in range(len(names))])
@@ -187,7 +223,9 @@ def quality_rules(docs: DataFrame, keep: list[str], cutoff: float = CUTOFF, leas
         # a leftover may be a single row: it is held to everyone's estimates, not to its own
         judged = judged.union(dealt.select(F.lit("all"), "_salt", *XS))
     estimates = mcd(judged)
-    far = _distance(_with(keyed, estimates, ["_group"], "left")).withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(0.2)))
+    far = _distance(_with(keyed, estimates, ["_group"], "left")).withColumn("distance", F.col("d2") / CONSISTENCY)
+    n = F.col("n")
+    cutoff = quantile(1 - tail) * (n * n - 1) / (n * (n - len(XS)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return far.select(*[F.col(out[k]).alias(k) for k in keep], *STATS, "base_failed", kept.alias("kept"), "distance")
 

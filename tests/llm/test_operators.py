@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import time
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -243,6 +244,18 @@ def test_licenses(docs, none):
     assert not licenses.license_scan(none).collect()
 
 
+def test_whole_licenses_and_every_fit(spark):
+    """Whole texts, wrapped at 60 characters behind comment marks; each template is found in its own text, in fits if not in labels."""
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        rows.append((k, "Some title\n" + "\n".join("// " + x for x in textwrap.wrap(text, 60)) + "\nint main()"))
+    out = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in out[k].fits.split(",") and set(out[k].labels.split(",")) <= {*out[k].fits.split(","), *out[k].base_labels.split(",")} for k, (label, _) in enumerate(licenses.TEMPLATES))
+    assert all(label in out[k].labels.split(",") for k, (label, _) in enumerate(licenses.TEMPLATES))
+    assert [out[k].labels for k in (16, 17, 18, 19, 20, 24, 25)] == ["mit", "isc", "bsd", "apache-2", "gpl-2", "zlib", "unlicense"]
+    assert out[7].labels == "agpl-3" and {"agpl-3", "gpl-3"} <= set(out[7].fits.split(","))
+
+
 @pytest.mark.parametrize(("text", "labels"), [
     ("# Permission is hereby granted, free of charge, to any person\r\n# obtaining a copy of this software and associated documentation\r\n# files (the Software)", "mit"),
     ("Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that\nthe following conditions are met:", "bsd"),

@@ -8,7 +8,7 @@ candidate only if it holds a word of the template's prefix (prefix filter), has
 filter). Candidates are counted exactly, so the result is that of comparing all blocks with all
 templates. A line is labelled after the fitting templates that it holds the largest share of; a
 window after its template, unless more than half of the words it shares with it lie in windows
-that fit others better. The templates are the bounded side: TEMPLATES, or what the caller passes.
+that fit others better. Beside these labels, fits names every template that any block fits. The templates are the bounded side: TEMPLATES, or what the caller passes.
 
 Beside that stand the fixed phrases of PHRASES, whose words must follow one another.
 
@@ -27,31 +27,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trawl.llm.license_texts import TEMPLATES
 from trawl.llm.shared import chunks, extended, pick, table
 
 THRESHOLD = 0.8
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrase -> label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices of widespread licenses: (label, text).
-TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "This project is licensed under the terms of the MIT license."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-2", "This program is licensed under the GNU General Public License, version 2."),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("lgpl-3", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("agpl-3", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("all-rights-reserved", "All rights reserved."),
-]
 
 # on UTF-8 with A-Z lower-cased: digits, a-z and every byte of other characters
 _TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -105,8 +87,8 @@ class Templates:
                     out.append((label, common / size))
         return out
 
-    def windows(self, words: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of the templates that windows of their length fit, best fits first."""
+    def windows(self, words: list[bytes]) -> tuple[list[tuple[str, float]], set[str]]:
+        """(label, containment) of the templates that windows of their length fit, best fits first; and all labels that fit."""
         places: dict[bytes, list[int]] = {}
         for at, w in enumerate(words):
             if w in self.order:
@@ -138,7 +120,7 @@ class Templates:
                 out.append((self.sets[k][0], share))
                 for i in at:
                     best.setdefault(i, share)
-        return out
+        return out, {self.sets[k][0] for _, k, _ in found}
 
 
 def template_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
@@ -157,7 +139,7 @@ def template_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[b
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, fits.
 
     score is the highest containment of a fitting template, 1 where a phrase stands, 0 without labels.
     """
@@ -167,7 +149,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     def scan(text: str | None) -> tuple:
         words = tokens(text)
-        places, base, labels, score = [], set(), set(), 0.0
+        places, base, labels, every, score = [], set(), set(), set(), 0.0
         for phrase, label in sought:
             if found := phrase_places(words, phrase):
                 places += found
@@ -178,23 +160,26 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 block = tokens(line)
                 if not known.keys.isdisjoint(block):
                     fits = known.fits(block)
+                    every.update(label for label, _ in fits)
                     most = max((share for _, share in fits), default=0.0)
                     labels.update(label for label, share in fits if share == most)
                     score = max(score, most)
-            for label, share in known.windows(words):
+            best, more = known.windows(words)
+            every |= more
+            for label, share in best:
                 labels.add(label)
                 score = max(score, share)
-        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
+        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score, ",".join(sorted(every))
 
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64()]
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "fits"]
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             columns = zip(*map(scan, b.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
 
-    return rows.mapInArrow(run, extended(rows.select("doc_id").schema, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"))
+    return rows.mapInArrow(run, extended(rows.select("doc_id").schema, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, fits string"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +211,11 @@ fits AS (
   SELECT r, l, label, len(list_intersect(b, words)) / len(words) AS share FROM lines JOIN tp ON list_has_any(b, words)
   WHERE len(list_intersect(b, words)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
 best AS (SELECT * FROM fits QUALIFY share = max(share) OVER (PARTITION BY l)),
-found AS (SELECT r, list(DISTINCT label) AS ls, max(share) AS score FROM best GROUP BY r)
+found AS (SELECT r, list(DISTINCT label) AS ls, max(share) AS score FROM best GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS fits FROM fits GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base.ls, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(found.ls, [])))), ',') AS labels,
-  CAST(CASE WHEN base.r IS NOT NULL THEN 1.0 ELSE coalesce(score, 0) END AS DOUBLE) AS score
-FROM w LEFT JOIN base USING (r) LEFT JOIN found USING (r)"""
+  CAST(CASE WHEN base.r IS NOT NULL THEN 1.0 ELSE coalesce(score, 0) END AS DOUBLE) AS score,
+  coalesce(every.fits, '') AS fits
+FROM w LEFT JOIN base USING (r) LEFT JOIN found USING (r) LEFT JOIN every USING (r)"""

@@ -13,13 +13,17 @@ THRESHOLD or more, and classes are what links connect:
 2. Buckets that these links leave in several classes are compared further, member by member across
    classes, in blocks of BLOCK texts by their registers' low bytes; a bucket's largest class is
    only dealt to the blocks of its other members. Pairs whose estimate is within
-   MARGIN (four standard deviations) of the threshold are compared exactly, each only in the first
+   MARGIN (five standard deviations) of the threshold are compared exactly, each only in the first
    band whose full hash it shares. Members of buckets over SMALL first get FINE registers, whose estimates
    leave few pairs that are not links.
 
-So no link between different texts that meet in a band is lost (at J_P = 0.8 all but 2 in 100,000
-do), and a group of copies or near copies costs a number of rows in proportion to it in step 1;
-in step 2 it grows with the product of the texts outside of a bucket's largest class and all.
+What is lost is by chance alone, and little: a pair at exactly J_P = 0.8 shares no band in 2 of
+100,000 cases (0.85: 4 of 100 million), and of those left to step 2 the estimate prunes 3 of 10
+million; both fall fast above the threshold. Nothing is lost by the number of a text's copies,
+partners or candidates. A group of copies or near copies costs a number of rows in proportion to it
+in step 1; in step 2 it grows with the product of the texts outside of a bucket's largest class and
+all: texts that are all just below the threshold to one another are compared pair by pair, by
+estimates.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer words than
 SHINGLE is one shingle; a text without words only equals itself. Null texts are empty texts. Every
@@ -41,8 +45,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trawl.llm.components import components
 from trawl.llm.shared import bitmap, chunks, materialize, mix, pick, prefix_hash, span_hash, table
 
-SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, MARGIN = 5, 0.8, 36, 6, 1024, 0.11
-SMALL, FINE, FINE_MARGIN = 64, 1024, 0.05
+SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, MARGIN = 5, 0.8, 36, 6, 1024, 0.137
+SMALL, FINE, FINE_MARGIN = 64, 1024, 0.063
 #: Sums of floats come out this close to the J_P that they stand for.
 ROUNDING = 1e-9
 REGISTERS = BANDS * ROWS

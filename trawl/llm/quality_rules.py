@@ -232,3 +232,18 @@ def quality_rules(docs: DataFrame, keep: list[str], tail: float = TAIL, least: i
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def base_sql() -> str:
+    """doc_id, the statistics and base_failed, which the estimates play no part in."""
+    w = WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ws AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+wins AS (SELECT r, i, list_aggregate(words[i:i + {w - 1}], 'string_agg', ' ') AS win FROM (SELECT r, words, unnest(range(1, len(words) - {w - 2})) AS i FROM ws WHERE len(words) >= {w})),
+twice AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, {w})) AS k) GROUP BY r),
+s AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM ws LEFT JOIN covered USING (r))
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM s"""

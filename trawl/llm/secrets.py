@@ -387,3 +387,24 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
+
+
+def base_sql() -> str:
+    """doc_id, the counts and the digest of the fixed forms, by the lengths of what stands between their matches."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    quote = "[\"'']?"
+    forms = [("assign", f"({words}){quote}\\x20*[:=]\\x20*{quote}([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", "AKIA[A-Z0-9]{14,}", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16)]
+    found = " UNION ALL ".join(
+        f"SELECT r, {k} AS o, '{kind}' AS kind, k, gaps, hits, secrets FROM (SELECT r, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {g}) AS secrets, "
+        f"unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS k FROM d) WHERE length(secrets[k]) >= {n}"
+        for k, (kind, p, g, n) in enumerate(forms)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+spans AS (SELECT r, o, kind, CAST(list_sum(list_transform(gaps[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(hits[k]) AS n FROM found),
+per AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS joined FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(joined, '')) AS base_sha256
+FROM d LEFT JOIN per USING (r)"""

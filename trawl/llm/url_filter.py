@@ -230,3 +230,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     labelled = materialize(page_labels(pages))
     return url_verdicts(pages, fit(labelled.where(~held_out())))
+
+
+def rules_sql() -> str:
+    """page_id, host, path and rule, which the trees play no part in."""
+    tests = []
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        on, _, at = rule.partition("/")
+        tests.append(f"WHEN (host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '/{at}') THEN '{rule}'")
+    parts = "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+    return f"""WITH p AS (SELECT page_id, translate({parts.format(1)}, '{_UPPER}', '{_LOWER}') AS host, {parts.format(2)} AS path FROM pages)
+SELECT page_id, host, path, CASE {' '.join(tests)} END AS rule FROM p"""

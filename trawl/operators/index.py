@@ -35,6 +35,8 @@ MAX_FILE_SIZE = 16 << 20
 SLICE_BYTES = 8 << 20
 #: Most candidates that the driver names one by one to the reader; beyond, every text is read.
 MOST_IDS, IDS_A_TEST = 20_000, 400
+#: The share of all texts up to which candidates are worth naming: kept texts lie many to a page, files by themselves.
+WORTH_PAGES, WORTH_FILES, ALWAYS_WORTH = 1 / 150, 1 / 2, 20
 #: Segments of an index, and dead files to a live one, above which they are merged.
 MOST_SEGMENTS, MOST_DEAD = 8, 0.5
 
@@ -194,7 +196,7 @@ class CorpusIndex:
         if query.kind in ("all", "none"):
             return None if query.kind == "all" else []
         meta = self.meta
-        most = min(MOST_IDS, meta["files_total"] // 2)
+        most = min(MOST_IDS, max(ALWAYS_WORTH, int(meta["files_total"] * (WORTH_PAGES if self.keep_texts else WORTH_FILES))))
         try:
             rows = candidates(self._segments(meta, "postings", POSTINGS), query).limit(most + 1).collect()
         except (PySparkException, Py4JJavaError):

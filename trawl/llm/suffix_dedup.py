@@ -39,7 +39,7 @@ from trawl.llm.shared import Bitmap, bitmap, chunks, extended, materialize, mix,
 LENGTH, Q, SEED = 200, 50, 8
 #: A very long text is worked through in parts of so many bytes that overlap by LENGTH.
 PART_BYTES = 1 << 20
-HOT_REACHES, FLUSH_BYTES, SALTS = 4000, 1 << 20, 8
+HOT_REACHES, FLUSH_BYTES, SALTS = 4000, 1 << 19, 8
 _POSITION = np.uint64((1 << 20) - 1)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -66,9 +67,15 @@ class Search:
         hits = files.where(~always).join(candidates(self.index.postings(), self.query), "file_id", "left_semi")
         return hits.select("path").unionByName(files.where(always).select("path"))
 
+    def _lookup(self) -> list[int] | None:
+        """What the index leaves of the corpus, where that is less."""
+        return self.index.lookup(self.query) if self.index is not None and (self.index.keep_texts or self.read) else None
+
     def _narrowed(self) -> DataFrame:
-        """The corpus, or what the index leaves of it, where that is less."""
-        ids = self.index.lookup(self.query) if self.index is not None and (self.index.keep_texts or self.read) else None
+        """The corpus, or what the index leaves of it."""
+        return self._texts(self._lookup())
+
+    def _texts(self, ids: list[int] | None) -> DataFrame:
         if self.index is not None and self.index.keep_texts:
             return self.index.all_texts() if ids is None else self.index.texts_of(ids)
         if ids is None:
@@ -79,8 +86,11 @@ class Search:
 
     def targets(self) -> DataFrame:
         """The texts to scan, and what the planner's condition leaves of them."""
+        return self._narrowed().where(self._condition())
+
+    def _condition(self) -> Column:
         content = F.col("content")
-        return self._narrowed().where(self.options.accepts(F.col("path")) & L.may_match(content, self.query) & ~L.looks_binary(content))
+        return self.options.accepts(F.col("path")) & L.may_match(content, self.query) & ~L.looks_binary(content)
 
     def _hits(self) -> DataFrame:
         return L.matching_lines(self.targets(), self.pattern, self.options.max_count)
@@ -120,3 +130,30 @@ class Search:
         """One row: plan, files in the index, candidates, matched files and lines."""
         files, found = self.index.files().agg(F.count("*").alias("files_in_index")), self.candidates().agg(F.count("*").alias("candidates"))
         return files.crossJoin(found).crossJoin(self.totals()).select(F.lit(str(self.query)).alias("plan"), "*")  # one row each
+
+
+def numbered(searches: dict[str, Search]) -> DataFrame:
+    """name, path, numbers: a row for each search and text with a match. Searches that an index doesn't narrow share one pass over their texts.
+
+    Options' max_count is not looked at.
+    """
+    passes: dict[object, tuple[DataFrame, list]] = {}
+    out = []
+    for name, s in searches.items():
+        ids = s._lookup()
+        if s.pattern.in_python:
+            lines = L.matching_lines(s._texts(ids).where(s._condition()), s.pattern)
+            out.append(lines.select(F.lit(name).alias("name"), "path", F.array("line_number").alias("numbers")))
+            continue
+        key = name if ids is not None else (id(s.index), id(s.corpus))
+        passes.setdefault(key, (s._texts(ids), []))[1].append((name, s.pattern, s._condition()))
+    out += [L.line_numbers(texts, tests) for texts, tests in passes.values()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """name, path, line_number that only one of two results of numbered() has, as often as it has it more; texts that agree stay whole."""
+    both = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))
+    texts = both.groupBy("name", "path", "numbers").agg(F.sum("n").alias("n")).where("n <> 0")
+    lines = texts.select("name", "path", F.explode("numbers").alias("line_number"), "n").groupBy("name", "path", "line_number").agg(F.sum("n").alias("n")).where("n <> 0")
+    return lines.select("name", "path", "line_number", F.explode(F.sequence(F.lit(1), F.abs("n"))).alias("_")).drop("_")
